@@ -1 +1,265 @@
-"""Registered queries."""
+"""Enrichment, warm filtering, entity statistics and rolling features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vitrine.operators import clean as C
+from vitrine.operators import features as E
+from vitrine.plans.oracle import sql
+from vitrine.plans.registry import day, money, money_sql, num, num_sql, query, with_nums
+from vitrine.sources import testdata as T
+from vitrine.sources.schemas import (
+    ARTICLE_ATTRIBUTES,
+    ARTICLE_CATEG,
+    CUSTOMER_ATTRIBUTES,
+    CUSTOMER_CATEG,
+    ROLLING_FEATURES,
+)
+
+CUSTOMER_MIN, ARTICLE_MIN = 40, 25
+
+
+def customers(spark, sf):
+    return C.clean_customers(T.raw_customers(spark, sf))
+
+
+def enriched(spark, sf):
+    return E.enrich(T.transactions(spark, sf), customers(spark, sf), T.articles(spark, sf))
+
+
+def splits(spark, sf):
+    return C.split_by_date(T.transactions(spark, sf), T.TRAIN, T.VALIDATION)
+
+
+def warm(spark, sf):
+    """Train, test and popularity after the warm filter, on enriched rows."""
+    train, val = C.split_by_date(enriched(spark, sf), T.TRAIN, T.VALIDATION)
+    return E.warm_filter(train, val, CUSTOMER_MIN, ARTICLE_MIN)
+
+
+_ATTRS = CUSTOMER_ATTRIBUTES + ARTICLE_ATTRIBUTES
+
+
+@query(
+    "enrich_inner",
+    sql("enriched", f"SELECT txn_id, age, {', '.join(_ATTRS)} FROM enriched"),
+)
+def enrich_inner(spark, sf):
+    return enriched(spark, sf).select("txn_id", "age", *_ATTRS)
+
+
+@query(
+    "enrich_left",
+    sql("transactions customers articles", f"""SELECT txn_id, age, {', '.join(_ATTRS)} FROM transactions
+LEFT JOIN (SELECT * FROM customers WHERE FN = '1.0') USING (customer_id) LEFT JOIN articles USING (article_id)"""),
+)
+def enrich_left(spark, sf):
+    """Left enrichment with a customer table that covers only part of the buyers."""
+    known = customers(spark, sf).where(F.col("FN") == "1.0")
+    out = E.enrich(T.transactions(spark, sf), known, T.articles(spark, sf), "left")
+    return out.select("txn_id", "age", *_ATTRS)
+
+
+@query("warm_transactions", sql("train_customers", "SELECT txn_id FROM train WHERE customer_id IN (SELECT customer_id FROM train_customers)"))
+def warm_transactions(spark, sf):
+    train, _ = splits(spark, sf)
+    keys = E.warm_keys(train, "customer_id", CUSTOMER_MIN)
+    return E.keep_keys(train, keys, "customer_id").select("txn_id")
+
+
+@query(
+    "warm_filter_counts",
+    sql("warm_train warm_val", """SELECT 'train' AS part, count(*) AS n, count(DISTINCT customer_id) AS customers, count(DISTINCT article_id) AS articles FROM warm_train
+UNION ALL SELECT 'test' AS part, count(*) AS n, count(DISTINCT customer_id) AS customers, count(DISTINCT article_id) AS articles FROM warm_val"""),
+)
+def warm_filter_counts(spark, sf):
+    train, test, _ = warm(spark, sf)
+    size = lambda df, part: df.agg(
+        F.lit(part).alias("part"), F.count("*").alias("n"),
+        F.count_distinct("customer_id").alias("customers"), F.count_distinct("article_id").alias("articles"),
+    )
+    return size(train, "train").unionByName(size(test, "test"))
+
+
+@query(
+    "article_popularity",
+    sql("popularity", f"SELECT article_id, n, {num_sql('n / sum(n) OVER () * 1e3')} AS per_mille FROM popularity"),
+)
+def article_popularity(spark, sf):
+    train, _ = splits(spark, sf)
+    kept = E.keep_keys(train, E.warm_keys(train, "customer_id", CUSTOMER_MIN), "customer_id")
+    pop = E.article_popularity(kept)
+    total = pop.agg(F.sum("n")).scalar()
+    return pop.withColumn("per_mille", num(F.col("n") / total * 1e3))
+
+
+@query(
+    "unseen_counts",
+    sql("transactions articles", """SELECT customer_id, (SELECT count(*) FROM articles) - count(DISTINCT article_id) AS unseen
+FROM transactions WHERE article_id IN (SELECT article_id FROM articles) GROUP BY customer_id"""),
+)
+def unseen_counts(spark, sf):
+    return E.unseen_counts(T.transactions(spark, sf), T.articles(spark, sf))
+
+
+def _entity_sql(key, prefix, categ, conti, source):
+    parts = ["count(*)::DOUBLE AS {0}_nb_transactions", "count(DISTINCT t_dat)::DOUBLE AS {0}_nb_dates"]
+    for c in categ:
+        parts.append(f"count(DISTINCT {c})::DOUBLE AS {prefix}_nb_{c}")
+        parts.append(f"count(DISTINCT {c}) / count(*) AS {prefix}_ratio_{c}")
+    for c in conti:
+        parts += [f"min({c}) AS {prefix}_{c}_min", f"max({c}) AS {prefix}_{c}_max",
+                  f"avg({c}) AS {prefix}_{c}_mean", f"COALESCE(stddev_samp({c}), 0) AS {prefix}_{c}_std"]
+    return f"SELECT {key}, " + ", ".join(parts).format(prefix) + f" FROM {source} GROUP BY {key}"
+
+
+ART_FEATS_SQL = _entity_sql("article_id", "art", CUSTOMER_CATEG, ["age", "price"], "warm_train")
+CUST_FEATS_SQL = _entity_sql("customer_id", "cust", ARTICLE_CATEG, ["price"], "warm_train")
+
+
+def _rounded(cols):
+    return " REPLACE (" + ", ".join(f"{num_sql(c)} AS {c}" for c in cols) + ")"
+
+
+def feature_names(prefix, categ, conti):
+    return (
+        [f"{prefix}_nb_transactions", f"{prefix}_nb_dates"]
+        + [f"{prefix}_{kind}_{c}" for c in categ for kind in ("nb", "ratio")]
+        + [f"{prefix}_{c}_{s}" for c in conti for s in ("min", "max", "mean", "std")]
+    )
+
+
+ART_COLS = feature_names("art", CUSTOMER_CATEG, ["age", "price"])
+CUST_COLS = feature_names("cust", ARTICLE_CATEG, ["price"])
+
+
+@query("article_features", sql("warm_train", f"SELECT *{_rounded(ART_COLS)} FROM ({ART_FEATS_SQL})"))
+def article_features(spark, sf):
+    train, _, _ = warm(spark, sf)
+    return with_nums(E.article_features(train), ART_COLS)
+
+
+@query("customer_features", sql("warm_train", f"SELECT *{_rounded(CUST_COLS)} FROM ({CUST_FEATS_SQL})"))
+def customer_features(spark, sf):
+    train, _, _ = warm(spark, sf)
+    return with_nums(E.customer_features(train), CUST_COLS)
+
+
+MERGED_OUT = ["cust_nb_transactions", "cust_price_mean", "cust_ratio_article_id", "art_nb_transactions", "art_age_mean", "art_price_std"]
+
+
+@query(
+    "merged_features",
+    sql("warm_train", f"""SELECT txn_id, {', '.join(f'{num_sql(c)} AS {c}' for c in MERGED_OUT)} FROM warm_train
+LEFT JOIN ({CUST_FEATS_SQL}) USING (customer_id) LEFT JOIN ({ART_FEATS_SQL}) USING (article_id)"""),
+)
+def merged_features(spark, sf):
+    train, _, _ = warm(spark, sf)
+    merged = E.merge_features(train, E.customer_features(train), E.article_features(train))
+    return merged.select("txn_id", *[num(c).alias(c) for c in MERGED_OUT])
+
+
+FILL_FROM = "2000-06-01"
+_FEATS = CUST_COLS + ART_COLS
+_MED = [c for c in _FEATS if c.endswith(("_min", "_max", "_mean"))]
+_BEFORE = f"enriched_old AS MATERIALIZED (SELECT * FROM enriched WHERE t_dat < DATE '{FILL_FROM}' AND price > 60000)"
+_FILLED_CTE = (
+    _BEFORE
+    + f""", merged AS MATERIALIZED (SELECT txn_id, c.* EXCLUDE (customer_id), a.* EXCLUDE (article_id) FROM val
+ LEFT JOIN ({CUST_FEATS_SQL.replace('warm_train', 'enriched_old')}) c USING (customer_id)
+ LEFT JOIN ({ART_FEATS_SQL.replace('warm_train', 'enriched_old')}) a USING (article_id))"""
+)
+
+
+@query(
+    "features_filled",
+    sql("enriched val", "SELECT txn_id, " + ", ".join(
+        f"{num_sql(f'COALESCE({c}, (SELECT median({c}) FROM merged))' if c in _MED else f'COALESCE({c}, 0)')} AS {c}" for c in _FEATS
+    ) + " FROM merged", _FILLED_CTE),
+)
+def features_filled(spark, sf):
+    """Validation rows met with features of older, dearer purchases, so that some are missing."""
+    everything = enriched(spark, sf)
+    old = everything.where((F.col("t_dat") < F.lit(FILL_FROM).cast("date")) & (F.col("price") > 60000))
+    _, val = splits(spark, sf)
+    merged = E.merge_features(
+        val.select("txn_id", "customer_id", "article_id"), E.customer_features(old), E.article_features(old)
+    )
+    return with_nums(E.fill_features(merged), _FEATS).select("txn_id", *_FEATS)
+
+
+# ---- rolling -------------------------------------------------------------------------
+
+DAILY_SQL = """SELECT customer_id, t_dat, sum(price) AS customer_daily_spend,
+ count(DISTINCT article_id) AS customer_daily_articles FROM activity GROUP BY customer_id, t_dat"""
+ROLLING_SQL = f"""SELECT *, CASE WHEN count(*) OVER w >= 7 THEN sum(customer_daily_spend) OVER w END AS customer_spend_30d,
+ CASE WHEN count(*) OVER w >= 7 THEN CAST(sum(customer_daily_articles) OVER w AS BIGINT) END AS customer_articles_30d
+FROM ({DAILY_SQL}) WINDOW w AS (PARTITION BY customer_id ORDER BY t_dat RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)"""
+GAP_SQL = """SELECT txn_id, CAST(COALESCE(date_diff('day', lag(t_dat) OVER (PARTITION BY customer_id ORDER BY t_dat, txn_id), t_dat), 0) AS INTEGER)
+ AS days_since_last_customer_trans FROM activity"""
+
+
+@query(
+    "daily_activity",
+    sql("activity", f"SELECT customer_id, CAST(t_dat AS VARCHAR) AS t_dat, {money_sql('customer_daily_spend')} AS customer_daily_spend, customer_daily_articles FROM ({DAILY_SQL})"),
+)
+def daily_activity(spark, sf):
+    out = E.daily_activity(T.activity(spark, sf))
+    return out.withColumns({"t_dat": day(), "customer_daily_spend": money("customer_daily_spend")})
+
+
+@query(
+    "rolling_30d",
+    sql("activity", f"SELECT customer_id, CAST(t_dat AS VARCHAR) AS t_dat, {money_sql('customer_spend_30d')} AS customer_spend_30d, customer_articles_30d FROM ({ROLLING_SQL})"),
+)
+def rolling_30d(spark, sf):
+    out = E.rolling_activity(E.daily_activity(T.activity(spark, sf)))
+    return out.select("customer_id", day().alias("t_dat"), money("customer_spend_30d").alias("customer_spend_30d"), "customer_articles_30d")
+
+
+@query("days_since_last", sql("activity", GAP_SQL))
+def days_since_last(spark, sf):
+    return E.days_since_last(T.activity(spark, sf)).select("txn_id", "days_since_last_customer_trans")
+
+
+ROLLED = f"""SELECT txn_id, CAST({money_sql('customer_daily_spend')} AS FLOAT) AS customer_daily_spend,
+ CAST(customer_daily_articles AS INTEGER) AS customer_daily_articles,
+ CAST({money_sql('COALESCE(customer_spend_30d, 0)')} AS FLOAT) AS customer_spend_30d,
+ CAST(COALESCE(customer_articles_30d, 0) AS INTEGER) AS customer_articles_30d, days_since_last_customer_trans
+FROM activity JOIN ({ROLLING_SQL}) USING (customer_id, t_dat) JOIN ({GAP_SQL}) USING (txn_id)"""
+
+
+@query("transaction_features", sql("activity", ROLLED))
+def transaction_features(spark, sf):
+    out = E.transaction_features(T.activity(spark, sf))
+    out = out.withColumns({c: money(c) for c in ("customer_daily_spend", "customer_spend_30d")})
+    types = {c: "float" if "spend" in c else "int" for c in ROLLING_FEATURES}
+    return C.downcast(out, types).select("txn_id", *ROLLING_FEATURES)
+
+
+LATEST_SQL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY t_dat DESC, txn_id DESC) AS rn
+ FROM transactions) WHERE rn = 1"""
+
+
+@query("latest_transaction", sql("transactions", f"SELECT customer_id, CAST(t_dat AS VARCHAR) AS t_dat, article_id, txn_id, price FROM ({LATEST_SQL})"))
+def latest_transaction(spark, sf):
+    out = E.latest_per_customer(T.transactions(spark, sf))
+    return out.select("customer_id", day().alias("t_dat"), "article_id", "txn_id", "price")
+
+
+@query(
+    "inference_customers",
+    sql("transactions", f"SELECT customer_id, CAST(t_dat AS VARCHAR) AS t_dat, txn_id FROM ({LATEST_SQL}) ORDER BY t_dat, txn_id LIMIT 10"),
+)
+def inference_customers(spark, sf):
+    out = E.limit_customers(E.latest_per_customer(T.transactions(spark, sf)), 10)
+    return out.select("customer_id", day().alias("t_dat"), "txn_id")
+
+
+@query(
+    "recent_price_range",
+    sql("price_range", "SELECT * FROM price_range"),
+)
+def recent_price_range(spark, sf):
+    return E.recent_price_range(T.transactions(spark, sf))
