@@ -8,6 +8,7 @@ from vitrine.operators import clean as C
 from vitrine.operators import features as E
 from vitrine.plans.oracle import sql
 from vitrine.plans.registry import day, money, money_sql, num, num_sql, query, with_nums
+from vitrine.session import materialize
 from vitrine.sources import testdata as T
 from vitrine.sources.schemas import (
     ARTICLE_ATTRIBUTES,
@@ -17,7 +18,7 @@ from vitrine.sources.schemas import (
     ROLLING_FEATURES,
 )
 
-CUSTOMER_MIN, ARTICLE_MIN = 40, 25
+CUSTOMER_MIN, ARTICLE_MIN = 40, 12
 
 
 def customers(spark, sf):
@@ -33,11 +34,21 @@ def splits(spark, sf):
 
 
 def warm(spark, sf):
-    """Train, test and popularity after the warm filter, on enriched rows."""
-    train, val = C.split_by_date(enriched(spark, sf), T.TRAIN, T.VALIDATION)
+    """Train, test and popularity after the warm filter, on enriched rows.
+
+    The enriched rows are read by every step of the filter, so they are written once.
+    """
+    rows = materialize(enriched(spark, sf), "enriched")
+    train, val = C.split_by_date(rows, T.TRAIN, T.VALIDATION)
     return E.warm_filter(train, val, CUSTOMER_MIN, ARTICLE_MIN)
 
 
+def warm_stage(spark, sf):
+    """The warm train rows and the popularity as written tables, for several consumers."""
+    train, _, popularity = warm(spark, sf)
+    return materialize(train, "warm_train"), materialize(popularity, "popularity")
+
+
 _ATTRS = CUSTOMER_ATTRIBUTES + ARTICLE_ATTRIBUTES
 
 
@@ -155,7 +166,7 @@ MERGED_OUT = ["cust_nb_transactions", "cust_price_mean", "cust_ratio_article_id"
 LEFT JOIN ({CUST_FEATS_SQL}) USING (customer_id) LEFT JOIN ({ART_FEATS_SQL}) USING (article_id)"""),
 )
 def merged_features(spark, sf):
-    train, _, _ = warm(spark, sf)
+    train, _ = warm_stage(spark, sf)
     merged = E.merge_features(train, E.customer_features(train), E.article_features(train))
     return merged.select("txn_id", *[num(c).alias(c) for c in MERGED_OUT])
 
@@ -186,6 +197,8 @@ def features_filled(spark, sf):
     merged = E.merge_features(
         val.select("txn_id", "customer_id", "article_id"), E.customer_features(old), E.article_features(old)
     )
+    # read twice, for the medians and for the rows
+    merged = materialize(merged, "merged")
     return with_nums(E.fill_features(merged), _FEATS).select("txn_id", *_FEATS)
 
 

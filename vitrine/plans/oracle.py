@@ -112,7 +112,7 @@ FROM transactions t JOIN customers c USING (customer_id) JOIN articles a USING (
         """SELECT article_id, count(*) AS n FROM train
 WHERE customer_id IN (SELECT customer_id FROM train_customers) GROUP BY article_id""",
     ),
-    "warm_articles": (["popularity"], "SELECT article_id FROM popularity WHERE n > 25"),
+    "warm_articles": (["popularity"], "SELECT article_id FROM popularity WHERE n > 12"),
     "warm_train": (
         ["warm_articles", "enriched"],
         f"""SELECT * FROM enriched WHERE {between(TRAIN)}

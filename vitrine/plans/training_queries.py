@@ -16,6 +16,7 @@ from vitrine.plans.feature_queries import (
     enriched,
     splits,
     warm,
+    warm_stage,
 )
 from vitrine.plans.oracle import between, sql, unit
 from vitrine.plans.registry import num, num_sql, query, with_nums
@@ -178,7 +179,7 @@ _SET_COLS = ["age", "club_member_status", "cust_nb_transactions", "product_type_
         _DRAWN.format(source="warm_train", n=1) + f", cf AS ({CUST_FEATS_SQL}), af AS ({ART_FEATS_SQL})"),
 )
 def training_set(spark, sf):
-    train, _, popularity = warm(spark, sf)
+    train, popularity = warm_stage(spark, sf)
     feats = E.article_features(train)
     merged = E.merge_features(train, E.customer_features(train), feats)
     out = G.training_set(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
@@ -37,3 +37,14 @@ def work_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the work folder."""
     return f"{work_dir(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back.
+
+    For a frame with several consumers: the rows are computed one time, later readers prune
+    columns from the file, and a lost executor costs a re-read instead of the whole lineage.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
