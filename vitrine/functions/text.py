@@ -34,14 +34,16 @@ def word_array(c: Column | str, stopwords: list[str] | None = None) -> Column:
 
 
 def ngram_array(words: Column, low: int = 1, high: int = 1) -> Column:
-    """Space-joined runs of ``low`` to ``high`` neighbouring words."""
+    """Space-joined runs of ``low`` to ``high`` neighbouring words.
+
+    ``words`` must be a plain column, because it is read several times.
+    """
     parts = []
     for n in range(low, high + 1):
-        if n == 1:
-            parts.append(words)
-            continue
-        starts = F.when(
-            F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)
-        ).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        runs = F.greatest(F.size(words) - n + 1, F.lit(0))
+        grams = F.slice(words, 1, runs)
+        for shift in range(1, n):
+            following = F.slice(words, shift + 1, runs)
+            grams = F.zip_with(grams, following, lambda a, b: F.concat_ws(" ", a, b))
+        parts.append(grams)
     return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -1 +1,114 @@
-"""Registered queries."""
+"""Scans, sinks, stages and the streaming refresh, checked by reading back what was written."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vitrine.operators.features import transaction_features
+from vitrine.plans.feature_queries import ROLLED, splits
+from vitrine.plans.oracle import between, sql
+from vitrine.plans.registry import day, money, money_sql, query
+from vitrine.session import run_dir
+from vitrine.sources import io, schemas
+from vitrine.sources import testdata as T
+from vitrine.streaming.refresh import latest_features, refresh_stream
+
+_TX = ["t_dat", "customer_id", "article_id", "price", "sales_channel_id"]
+
+
+@query(
+    "scan_csv",
+    sql("transactions", f"""SELECT CAST(t_dat AS VARCHAR) AS t_dat, customer_id, article_id, price FROM transactions
+WHERE t_dat >= DATE '{T.VALIDATION[0]}'"""),
+)
+def scan_csv(spark, sf):
+    """CSV round trip with declared types, chosen columns and a lower date bound."""
+    path = run_dir(spark, "csv")
+    io.write_csv(T.transactions(spark, sf).select(*_TX), path)
+    out = io.read_transactions(spark, path, ["t_dat", "customer_id", "article_id", "price"], since=T.VALIDATION[0])
+    return out.withColumn("t_dat", day())
+
+
+@query(
+    "scan_parquet",
+    """SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem WHERE l_extendedprice >= 50000.0""",
+)
+def scan_parquet(spark, sf):
+    """Column pruning and a filter that reaches the scan."""
+    scan = io.read_table(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_partkey", "l_extendedprice"])
+    return scan.where(F.col("l_extendedprice") >= 50000.0)
+
+
+@query(
+    "sink_parquet",
+    sql("transactions", f"""SELECT sales_channel_id, customer_id, count(*) AS n, {money_sql('sum(price)')} AS earning
+FROM transactions GROUP BY sales_channel_id, customer_id"""),
+)
+def sink_parquet(spark, sf):
+    """Partitioned write and read back."""
+    path = run_dir(spark, "parquet")
+    io.write_table(T.transactions(spark, sf).select(*_TX), path, ["sales_channel_id"])
+    back = io.read_table(spark, path)
+    return back.groupBy("sales_channel_id", "customer_id").agg(
+        F.count("*").alias("n"), money(F.sum("price")).alias("earning")
+    )
+
+
+@query("sink_json", sql("described", "SELECT article_id, detail_desc, CAST(article_id AS DOUBLE) / 8 AS similarity FROM described"))
+def sink_json(spark, sf):
+    """Search-result records as JSON lines and back; a missing description stays missing."""
+    path = run_dir(spark, "json")
+    records = T.described_articles(spark, sf).select(
+        "article_id", "detail_desc", (F.col("article_id").cast("double") / 8).alias("similarity")
+    )
+    io.write_json(records, path)
+    return io.read_json(spark, path, schemas.SEARCH_RESULT)
+
+
+@query("season_map_rows", sql("season_map", "SELECT season, product_type_name FROM season_map"))
+def season_map_rows(spark, sf):
+    """The season map of the catalog's product types as a JSON object, written and read."""
+    path = run_dir(spark, "seasons")
+    # one row per season; the types of a catalog are few
+    grouped = T.season_map(spark, sf).groupBy("season").agg(
+        F.sort_array(F.collect_list("product_type_name")).alias("types")
+    )
+    one = grouped.select(F.to_json(F.map_from_arrays(F.array("season"), F.array("types"))).alias("value"))
+    one.write.text(path)
+    return io.read_season_map(spark, path)
+
+
+@query(
+    "staged_split",
+    sql("transactions", f"""SELECT customer_id, count(*) AS n, CAST(max(t_dat) AS VARCHAR) AS last_day
+FROM transactions WHERE {between(T.TRAIN)} GROUP BY customer_id"""),
+)
+def staged_split(spark, sf):
+    """A stage that is built once; the second call reads the finished copy."""
+    base = run_dir(spark, "stages")
+    params = {"train": T.TRAIN, "val": T.VALIDATION}
+    io.stage(spark, "train", lambda: splits(spark, sf)[0], base, params)
+
+    def never():
+        raise AssertionError("a finished stage must not be built again")
+
+    train = io.stage(spark, "train", never, base, params)
+    return train.groupBy("customer_id").agg(
+        F.count("*").alias("n"), F.max("t_dat").cast("string").alias("last_day")
+    )
+
+
+@query("refresh_stream", sql("activity", ROLLED))
+def refresh_features(spark, sf):
+    """Features after streaming all transactions in equal the batch result."""
+    source, sink = run_dir(spark, "arrivals"), run_dir(spark, "refreshed")
+    activity = T.activity(spark, sf)
+    # four arrivals by day; every customer is touched by several of them
+    activity.repartitionByRange(4, "t_dat").write.parquet(source)
+    refresh_stream(spark, source, lambda: T.activity(spark, sf), sink, run_dir(spark, "offsets"))
+    out = latest_features(spark, sink)
+    types = {c: "float" if "spend" in c else "int" for c in schemas.ROLLING_FEATURES}
+    cells = [
+        (money(c) if "spend" in c else F.col(c)).cast(t).alias(c) for c, t in types.items()
+    ]
+    return out.select("txn_id", *cells)
