@@ -24,9 +24,14 @@ def fill_unknown(customers: DataFrame) -> DataFrame:
 
 
 def impute_median(df: DataFrame, col: str) -> DataFrame:
-    """Null values of ``col`` become its exact median over the whole table."""
-    median = quantile_rows(df, col, [0.5]).select("quantile").scalar()
-    return df.withColumn(col, F.coalesce(F.col(col).cast("double"), median))
+    """Null values of ``col`` become its exact median over the whole table.
+
+    The median is fitted at once, as Spark ML's imputer does: one number, computed one time
+    however many plans use the cleaned table.
+    """
+    fitted = quantile_rows(df, col, [0.5]).first()
+    value = F.lit(fitted.quantile if fitted else None).cast("double")
+    return df.withColumn(col, F.coalesce(F.col(col).cast("double"), value))
 
 
 def clean_customers(customers: DataFrame) -> DataFrame:

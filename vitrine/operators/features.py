@@ -21,6 +21,11 @@ def enrich(
     return tx.join(customers, "customer_id", how).join(articles, "article_id", how)
 
 
+def enrich_articles(tx: DataFrame, articles: DataFrame) -> DataFrame:
+    """The article side alone, for features that read no customer column."""
+    return tx.join(articles, "article_id")
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
@@ -115,8 +120,8 @@ def fill_features(df: DataFrame) -> DataFrame:
     """Missing min/max/mean feature columns become the median of this frame, others 0."""
     feats = [c for c in df.columns if c.startswith(("cust_", "art_"))]
     by_median = [c for c in feats if c.endswith(("_min", "_max", "_mean"))]
-    medians = column_medians(df, by_median).select(F.struct(*by_median)).scalar()
-    filled = df.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in by_median})
+    medians = column_medians(df, by_median).first()
+    filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in by_median})
     return filled.fillna(0.0, subset=feats)
 
 

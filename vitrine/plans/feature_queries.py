@@ -34,19 +34,27 @@ def splits(spark, sf):
 
 
 def warm(spark, sf):
-    """Train, test and popularity after the warm filter, on enriched rows.
+    """Train, test and popularity after the warm filter.
 
-    The enriched rows are read by every step of the filter, so they are written once.
+    Only purchases of known customers and articles count. The filter needs nothing but the
+    keys, so the attributes are joined to what is left of it.
     """
-    rows = materialize(enriched(spark, sf), "enriched")
-    train, val = C.split_by_date(rows, T.TRAIN, T.VALIDATION)
+    known = T.transactions(spark, sf)
+    known = E.keep_keys(known, T.raw_customers(spark, sf).select("customer_id"), "customer_id")
+    known = E.keep_keys(known, T.articles(spark, sf).select("article_id"), "article_id")
+    train, val = C.split_by_date(known, T.TRAIN, T.VALIDATION)
     return E.warm_filter(train, val, CUSTOMER_MIN, ARTICLE_MIN)
 
 
+def with_attributes(spark, sf, tx):
+    return E.enrich(tx, customers(spark, sf), T.articles(spark, sf))
+
+
 def warm_stage(spark, sf):
-    """The warm train rows and the popularity as written tables, for several consumers."""
+    """Enriched warm train rows and the popularity, for several consumers: the filtered
+    purchases are written once, narrow, and the attributes joined on reading."""
     train, _, popularity = warm(spark, sf)
-    return materialize(train, "warm_train"), materialize(popularity, "popularity")
+    return with_attributes(spark, sf, materialize(train, "warm_train")), popularity
 
 
 _ATTRS = CUSTOMER_ATTRIBUTES + ARTICLE_ATTRIBUTES
@@ -147,13 +155,13 @@ CUST_COLS = feature_names("cust", ARTICLE_CATEG, ["price"])
 
 @query("article_features", sql("warm_train", f"SELECT *{_rounded(ART_COLS)} FROM ({ART_FEATS_SQL})"))
 def article_features(spark, sf):
-    train, _, _ = warm(spark, sf)
+    train = with_attributes(spark, sf, warm(spark, sf)[0])
     return with_nums(E.article_features(train), ART_COLS)
 
 
 @query("customer_features", sql("warm_train", f"SELECT *{_rounded(CUST_COLS)} FROM ({CUST_FEATS_SQL})"))
 def customer_features(spark, sf):
-    train, _, _ = warm(spark, sf)
+    train = E.enrich_articles(warm(spark, sf)[0], T.articles(spark, sf))
     return with_nums(E.customer_features(train), CUST_COLS)
 
 

@@ -13,10 +13,10 @@ from vitrine.plans.feature_queries import (
     CUST_FEATS_SQL,
     CUSTOMER_MIN,
     customers,
-    enriched,
     splits,
     warm,
     warm_stage,
+    with_attributes,
 )
 from vitrine.plans.oracle import between, sql, unit
 from vitrine.plans.registry import num, num_sql, query, with_nums
@@ -34,12 +34,8 @@ dicts AS MATERIALIZED (SELECT feature, token, CAST(row_number() OVER (PARTITION
  - CASE WHEN feature = 'article_id' THEN 1 ELSE 0 END AS INTEGER) AS idx FROM ({_TOKENS}))"""
 
 
-def _train(spark, sf):
-    return split_by_date(enriched(spark, sf), T.TRAIN, T.VALIDATION)[0]
-
-
 def _dicts(spark, sf):
-    return N.build_dictionaries(_train(spark, sf), T.articles(spark, sf))
+    return N.build_dictionaries(splits(spark, sf)[0], customers(spark, sf), T.articles(spark, sf))
 
 
 @query("dictionaries", sql("enriched", "SELECT feature, token, idx FROM dicts", DICT_CTE))
@@ -69,7 +65,8 @@ _LOOKUPS = " ".join(
 )
 def encoded_train(spark, sf):
     train, _ = splits(spark, sf)
-    out = N.encode(train, customers(spark, sf), T.articles(spark, sf), _dicts(spark, sf))
+    cust, art = customers(spark, sf), T.articles(spark, sf)
+    out = N.encode(train, cust, art, N.build_dictionaries(train, cust, art))
     return out.select("txn_id", *[f"{c}_idx" for c, _ in _IDX], F.col("price").cast("float").alias("price"))
 
 
@@ -82,10 +79,9 @@ FROM (SELECT * FROM enriched WHERE {between(T.VALIDATION)}) v {_LOOKUPS.replace(
 )
 def encoded_validation(spark, sf):
     """Validation rows with dictionaries of the last training fortnight: unknown tokens are 0."""
-    late, _ = split_by_date(enriched(spark, sf), ("2000-12-15", "2000-12-31"), T.VALIDATION)
-    dicts = N.build_dictionaries(late, T.articles(spark, sf))
-    _, val = splits(spark, sf)
-    out = N.encode(val, customers(spark, sf), T.articles(spark, sf), dicts)
+    cust, art = customers(spark, sf), T.articles(spark, sf)
+    late, val = split_by_date(T.transactions(spark, sf), ("2000-12-15", "2000-12-31"), T.VALIDATION)
+    out = N.encode(val, cust, art, N.build_dictionaries(late, cust, art))
     return out.select("txn_id", *[f"{c}_idx" for c, _ in _IDX])
 
 
@@ -109,6 +105,7 @@ _NORMED = ["price", "age"]
 )
 def normalized_features(spark, sf):
     train, test, _ = warm(spark, sf)
+    train, test = with_attributes(spark, sf, train), with_attributes(spark, sf, test)
     out = N.normalize(test, N.fit_normalizer(train, _NORMED), _NORMED)
     return with_nums(out.select("txn_id", *[f"{c}_z" for c in _NORMED]), [f"{c}_z" for c in _NORMED])
 
