@@ -69,11 +69,12 @@ def sink_json(spark, sf):
 def season_map_rows(spark, sf):
     """The season map of the catalog's product types as a JSON object, written and read."""
     path = run_dir(spark, "seasons")
-    # one row per season; the types of a catalog are few
+    # the file is one object: three seasons, and the distinct product types of the catalog
     grouped = T.season_map(spark, sf).groupBy("season").agg(
         F.sort_array(F.collect_list("product_type_name")).alias("types")
     )
-    one = grouped.select(F.to_json(F.map_from_arrays(F.array("season"), F.array("types"))).alias("value"))
+    entries = F.map_from_entries(F.collect_list(F.struct("season", "types")))
+    one = grouped.agg(F.to_json(entries).alias("value"))
     one.write.text(path)
     return io.read_season_map(spark, path)
 
