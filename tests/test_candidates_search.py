@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from vitrine.operators import candidates as K
 from vitrine.operators import search as S
 from vitrine.operators.analytics import facet_rows
-from vitrine.plans.search_queries import search
+from vitrine.plans.jobs import run_search
+from vitrine.session import run_dir
+from vitrine.sources import io, schemas
 from vitrine.sources.schemas import FACETS
 
 
@@ -102,11 +104,15 @@ def test_text_search_order_threshold_and_unknown_words(spark):
     assert S.text_search("zzz the", feed, model).count() == 0
     zeros = S.text_search("zzz", feed, model, threshold=0.0)
     assert zeros.count() == 4 and {r.similarity for r in zeros.collect()} == {0.0}
-    one = search(spark, "text", "bag", feed, _articles(spark), model, customer_id="c")
+    one = run_search("text", "bag", feed, _articles(spark), model, customer_id="c")
     assert [r.detail_desc for r in one.collect()] == ["red RED bag"]
-    assert search(spark, "text", "bag", feed, _articles(spark), model, customer_id="x").count() == 0
+    assert run_search("text", "bag", feed, _articles(spark), model, customer_id="x").count() == 0
+    path = run_dir(spark, "results")
+    run_search("text", "bag", feed, _articles(spark), model, output=path)
+    saved = io.read_json(spark, path, schemas.SEARCH_RESULT).collect()
+    assert [r.article_id for r in saved] == ["3"] and saved[0].similarity > 0.2
     with pytest.raises(ValueError):
-        search(spark, "smell", "bag", feed, _articles(spark), model)
+        run_search("smell", "bag", feed, _articles(spark), model)
 
 
 def test_ngrams(spark):

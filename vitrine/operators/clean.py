@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +59,17 @@ def split_by_date(
     val: tuple[str, str | None],
     col: str = "t_dat",
 ) -> tuple[DataFrame, DataFrame]:
-    """Inclusive day ranges; rows outside both are dropped. An open ``val`` end is None."""
+    """Inclusive day ranges; rows outside both are dropped. An open ``val`` end is None.
+
+    The bounds are compared with the bare column (the end as "before the next day"), so they
+    reach the scan for dates and for timestamps.
+    """
 
     def within(start: str, end: str | None) -> Column:
-        day = scalars.to_day(col)
-        cond = day >= F.lit(start).cast("date")
-        return cond if end is None else cond & (day <= F.lit(end).cast("date"))
+        cond = F.col(col) >= F.lit(dt.date.fromisoformat(start))
+        if end is None:
+            return cond
+        return cond & (F.col(col) < F.lit(dt.date.fromisoformat(end) + dt.timedelta(days=1)))
 
     return df.where(within(*train)), df.where(within(*val))
 

@@ -136,6 +136,10 @@ def daily_activity(tx: DataFrame) -> DataFrame:
     )
 
 
+def _by_day():
+    return Window.partitionBy("customer_id").orderBy(day_number("t_dat"))
+
+
 def rolling_activity(
     daily: DataFrame, days: int = 30, min_days: int = 7, exclude_current: bool = False
 ) -> DataFrame:
@@ -144,7 +148,7 @@ def rolling_activity(
     The window runs over customer days, never over raw rows, so the largest group is the
     length of the calendar however many rows one customer has.
     """
-    frame = Window.partitionBy("customer_id").orderBy(day_number("t_dat"))
+    frame = _by_day()
     ends = (-days, -1) if exclude_current else (-(days - 1), 0)
     w = frame.rangeBetween(*ends)
     enough = F.count("*").over(w) >= min_days
@@ -156,10 +160,13 @@ def rolling_activity(
     )
 
 
-def day_gaps(tx: DataFrame) -> DataFrame:
-    """Per customer day: its first transaction and the days since the previous active day."""
-    days = tx.groupBy("customer_id", "t_dat").agg(F.min("txn_id").alias("first_txn"))
-    prev = F.lag("t_dat").over(Window.partitionBy("customer_id").orderBy("t_dat"))
+def first_of_day(tx: DataFrame) -> DataFrame:
+    return tx.groupBy("customer_id", "t_dat").agg(F.min("txn_id").alias("first_txn"))
+
+
+def day_gaps(days: DataFrame) -> DataFrame:
+    """Customer days with the days since the customer's previous active day."""
+    prev = F.lag("t_dat").over(_by_day())
     return days.withColumn("gap", F.coalesce(F.datediff("t_dat", prev), F.lit(0)))
 
 
@@ -170,7 +177,7 @@ def _gap_of_row():
 def days_since_last(tx: DataFrame) -> DataFrame:
     """Days since the customer's previous row; 0 for the first row and later rows of a day."""
     return (
-        tx.join(day_gaps(tx), ["customer_id", "t_dat"], "left")
+        tx.join(day_gaps(first_of_day(tx)), ["customer_id", "t_dat"], "left")
         .withColumn("days_since_last_customer_trans", _gap_of_row())
         .drop("first_txn", "gap")
     )
@@ -179,12 +186,13 @@ def days_since_last(tx: DataFrame) -> DataFrame:
 def transaction_features(tx: DataFrame, days: int = 30, min_days: int = 7) -> DataFrame:
     """Every transaction with its five rolling features, nulls as 0.
 
-    Daily sums, rolling sums and gaps are all per customer day, so they are put together
-    there and reach the transactions through one join.
+    Daily sums, rolling sums and gaps are all per customer day. The two daily aggregates
+    meet on the keys they are already spread by, both windows then share one shuffle by
+    customer, and everything reaches the transactions through one join.
     """
-    per_day = rolling_activity(daily_activity(tx), days, min_days).join(
-        day_gaps(tx), ["customer_id", "t_dat"]
-    )
+    keys = ["customer_id", "t_dat"]
+    per_day = daily_activity(tx).join(first_of_day(tx), keys)
+    per_day = day_gaps(rolling_activity(per_day, days, min_days))
     joined = tx.join(per_day, ["customer_id", "t_dat"], "left")
     out = joined.withColumn("days_since_last_customer_trans", _gap_of_row()).drop("first_txn", "gap")
     return out.fillna(0, subset=schemas.ROLLING_FEATURES)

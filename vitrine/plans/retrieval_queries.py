@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators import candidates as K
@@ -10,8 +9,8 @@ from vitrine.operators import evaluate as V
 from vitrine.operators import retrieval as R
 from vitrine.operators.clean import split_by_date
 from vitrine.operators.encode import label_probs
-from vitrine.operators.features import latest_per_customer, limit_customers
 from vitrine.plans.feature_queries import splits
+from vitrine.plans.jobs import run_retrieval
 from vitrine.plans.oracle import sql
 from vitrine.plans.registry import num, num_sql, query
 from vitrine.session import materialize
@@ -219,31 +218,6 @@ def candidates_filtered(spark, sf):
     )
 
 
-def run_retrieval(
-    train: DataFrame,
-    val: DataFrame,
-    articles: DataFrame,
-    emb: DataFrame,
-    dim: int,
-    k: int = TOP_K,
-    threshold: float | None = None,
-    ratio: float = 0.6,
-    customers: int | None = None,
-) -> DataFrame:
-    """The offline job: latest row of every customer of both splits, content vectors of the
-    training purchases, scoring against the catalog, business rules, one list per customer."""
-    everything = train.unionByName(val)
-    who = limit_customers(latest_per_customer(everything), customers).select("customer_id")
-    vectors = who.join(R.content_user_vectors(train, emb, dim), "customer_id", "left")
-    catalog = R.catalog_vectors(articles, emb)
-    if threshold is None:
-        found = R.retrieve_topk(vectors, catalog, dim, k)
-    else:
-        found = R.retrieve_threshold(vectors, catalog, dim, threshold, k)
-    kept = K.filter_candidates(found, articles, everything, ratio)
-    return K.collapse_candidates(kept)
-
-
 _ALL_SCORES = """COALESCE(round(list_dot_product(u.vec, i.vec)
     / sqrt(list_dot_product(u.vec, u.vec) * list_dot_product(i.vec, i.vec)), 9), 0.0)"""
 

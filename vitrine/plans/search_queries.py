@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators import candidates as K
 from vitrine.operators import search as S
 from vitrine.operators.analytics import facet_rows
 from vitrine.operators.clean import display_defaults
+from vitrine.plans.jobs import run_search
 from vitrine.plans.oracle import STOP_LIST, sql
 from vitrine.plans.registry import num, num_sql, query, with_nums
 from vitrine.session import materialize
@@ -113,7 +113,8 @@ def tfidf_weights(spark, sf):
 
 def _stored_model(spark, sf):
     """The fitted model as written tables, as a search would find it."""
-    m = _model(spark, sf)
+    docs = _docs(spark, sf)
+    m = S.fit_tfidf(docs, counts=materialize(S.term_counts(docs, "detail_desc"), "term_counts"))
     vocabulary = materialize(m.vocabulary, "vocabulary")
     return S.TfIdf(vocabulary, materialize(m.weights, "weights"), m.ngram, m.stopwords)
 
@@ -140,33 +141,10 @@ def text_search(spark, sf):
     return _text_results(spark, sf)
 
 
-def search(
-    spark: SparkSession,
-    method: str,
-    query_value,
-    feed: DataFrame,
-    articles: DataFrame,
-    model: S.TfIdf | None = None,
-    emb: DataFrame | None = None,
-    customer_id: str | None = None,
-    threshold: float = 0.2,
-) -> DataFrame:
-    """Search the feeds (or one customer's) by text or by vector, with descriptions."""
-    if method not in ("text", "image"):
-        raise ValueError("method must be 'text' or 'image'")
-    if customer_id is not None:
-        feed = feed.where(F.col("customer_id") == customer_id)
-    if method == "text":
-        found = S.text_search(query_value, feed, model, threshold)
-    else:
-        found = S.vector_search(query_value, feed, emb, threshold)
-    return K.result_details(found, articles)
-
-
 @query("search_details", sql("candidates weights", f"SELECT customer_id, article_id, rank, detail_desc, similarity FROM ({_TEXT}) JOIN described USING (article_id)"))
 def search_details(spark, sf):
     model = _stored_model(spark, sf)
-    found = search(spark, "text", _query_text(model), T.candidates(spark, sf), T.described_articles(spark, sf), model)
+    found = run_search("text", _query_text(model), T.candidates(spark, sf), T.described_articles(spark, sf), model)
     return found.select("customer_id", "article_id", "rank", "detail_desc", "similarity")
 
 
