@@ -8,12 +8,21 @@ sorted. The sketch decides how even the slices are, never the result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 64
 
 
+def slice_number(cuts: str, value: Column) -> Column:
+    """How many of the sorted ``cuts`` lie below ``value``.
+
+    Never null: a null test inferred for a join on it would be pushed below the counting and
+    compute the value once per cut and row there.
+    """
+    return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
+
+
 def quantile_rows(
     df: DataFrame, value: str, ps: list[float], by: list[str] | None = None
 ) -> DataFrame:
@@ -37,8 +46,7 @@ def quantile_rows(
     else:
         one = shape.select(F.struct("_total", "_cuts").alias("s")).scalar()
         sliced = counts.select("_v", "_n", one["_total"].alias("_total"), one["_cuts"].alias("_cuts"))
-    slice_no = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    sliced = sliced.withColumn("_slice", slice_no).drop("_cuts")
+    sliced = sliced.withColumn("_slice", slice_number("_cuts", F.col("_v"))).drop("_cuts")
 
     held = sliced.groupBy(*by, "_slice").agg(
         F.sum("_n").alias("_held"), F.first("_total").alias("_total")

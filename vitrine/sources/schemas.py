@@ -12,6 +12,9 @@ from pyspark.sql.types import (
 )
 
 
+# The column names of the input tables and of the features.
+
+
 def _strings(*names: str) -> list[StructField]:
     return [StructField(n, StringType()) for n in names]
 
