@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,10 @@ PACKED = (
 )
 
 
+#: A control character that stands between the words of one call to the tokenizer.
+MARK = b"\x01"
+
+
 class WordEncoder:
     """Token ids of texts, word by word, for a tokenizer that drops white space.
 
@@ -44,6 +50,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.mark_ids = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -56,15 +63,33 @@ class WordEncoder:
     def _room(a: np.ndarray, need: int) -> np.ndarray:
         return a if need <= len(a) else np.concatenate([a, np.zeros(max(len(a), need - len(a)), a.dtype)])
 
+    def _separate(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and the number of them in each, one word at a time."""
+        ids, counts = [], []
+        for w in words:
+            got = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+            ids += got
+            counts.append(len(got))
+        return np.array(ids, np.uint32), np.array(counts, np.int64)
+
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same in one call: the words stand between marks that none of them holds."""
+        if len(self.mark_ids) != 1 or MARK in b" ".join(words):
+            return self._separate(words)
+        text = f" {MARK.decode()} ".join([w.decode() for w in words])
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark_ids[0])
+        if len(marks) != len(words) - 1:
+            return self._separate(words)
+        counts = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+        return np.delete(ids, marks), counts
+
     def learn(self, words: list[bytes]) -> None:
-        enc = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(enc.ids, np.uint32)
-        of = np.array([-1 if x is None else x for x in enc.word_ids], np.int64)
-        edges = np.searchsorted(of, np.arange(len(words) + 1))
+        ids, counts = self._together(words)
         n, m = self.n + len(words), self.used + len(ids)
         self.start, self.width, self.flat = self._room(self.start, n), self._room(self.width, n), self._room(self.flat, m)
-        self.start[self.n : n] = self.used + edges[:-1]
-        self.width[self.n : n] = np.diff(edges)
+        self.start[self.n : n] = self.used + np.cumsum(counts) - counts
+        self.width[self.n : n] = counts
         self.flat[self.used : m] = ids
         self.place.update(zip(words, range(self.n, n)))
         self.n, self.used = n, m
@@ -72,27 +97,34 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.n > self.most:
             self.clear()
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.place)) if split else []
-        for i in range(0, len(new), 50_000):
-            self.learn(new[i : i + 50_000])
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            width = self.width[at]
-            ends = np.cumsum(width)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.start[at] - (ends - width), width) + np.arange(total)])
-        return out
-
-
-_encoders: dict[str, WordEncoder] = {}
+        words: list[bytes] = []
+        ends = []
+        for t in texts:
+            words += t.split()
+            ends.append(len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(words[i] for i in unknown))
+            for i in range(0, len(new), 512):
+                self.learn(new[i : i + 512])
+            at[unknown] = [self.place[words[i]] for i in unknown]
+        width = self.width[at]
+        edges = np.concatenate([[0], np.cumsum(width)])
+        flat = self.flat[np.repeat(self.start[at] - edges[:-1], width) + np.arange(edges[-1])]
+        cuts = edges[np.array([0, *ends])].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+@lru_cache(maxsize=4)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder per worker process; tasks that follow each other share its words."""
+    return WordEncoder(path)
 
 
 def _pieces(path: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, None) or WordEncoder(path)
-        _encoders[path] = encoder
+        encoder = encoder_for(path)
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
