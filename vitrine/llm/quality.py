@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.session import materialize
@@ -197,32 +197,52 @@ def _matrix(rows: list, field: str, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(r[field] for r in rows), "<f2").astype(np.float32).reshape(len(rows), dims)
 
 
-def _confident(pool: DataFrame, model: Model, sure: float, rows: int, seed: int) -> list:
-    """Of all unlabelled documents that one view is sure of and the other is not against: a hash sample."""
+def _confident(docs: DataFrame, known: DataFrame, model: Model, sure: float, rows: int, seed: int) -> list:
+    """Of all unlabelled documents that one view is sure of and the other is not against: a hash sample.
+
+    Every document is scored. ``rows`` of each label and view are drawn, by a hash of the id whose cut
+    follows from their number.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = batch.select(["tx", "mx"]).to_pylist()
-            zt, zm = model.views(_matrix(got, "tx", TEXT_DIMS), _matrix(got, "mx", META_DIMS))
-            for view, z, other in ((0, zt, zm), (1, zm, zt)):
-                p = chance(z)
-                for y, fit in ((1, p >= sure), (0, p <= 1 - sure)):
-                    against = chance(other) if y == 0 else 1 - chance(other)
-                    fit = fit & (against < sure)
-                    if fit.any():
-                        n = int(fit.sum())
-                        part = batch.filter(pa.array(fit))
+            for low in range(0, batch.num_rows, 512):
+                some = batch.slice(low, 512)
+                zt, zm = shared.value.views(*_vectors(_rows(some, 1)))
+                for view, z, other in ((0, zt, zm), (1, zm, zt)):
+                    for y, p, q in ((1, chance(z), chance(other)), (0, chance(-z), chance(-other))):
+                        fit = (p >= sure) & (q > 1 - sure)
+                        ids = some.column(0).filter(pa.array(fit))
+                        n = len(ids)
                         yield pa.RecordBatch.from_arrays(
-                            [part["doc_id"], part["tx"], part["mx"], pa.array([view] * n, pa.int32()), pa.array([y] * n, pa.int32())],
-                            names=["doc_id", "tx", "mx", "view", "y"],
+                            [ids, pa.array([view] * n, pa.int32()), pa.array([y] * n, pa.int32())],
+                            names=["doc_id", "view", "y"],
                         )
 
-    sure_ones = pool.mapInArrow(run, "doc_id long, tx binary, mx binary, view int, y int")
-    order = Window.partitionBy("view", "y").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "tx")
-    ranked = sure_ones.withColumn("_r", F.row_number().over(order))
-    return ranked.where(F.col("_r") <= rows).drop("_r").collect()
+    cols = docs.select(F.col("doc_id").cast("long"), *_page_columns(docs))
+    ids = cols.mapInArrow(run, "doc_id long, view int, y int").where("doc_id is not null")
+    ids = materialize(ids.join(known.select("doc_id"), "doc_id", "left_anti"), "quality-sure")
+    counts = {(r["view"], r["y"]): r["count"] for r in ids.groupBy("view", "y").count().collect()}
+    if not counts:
+        return []
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    within = F.lit(False)
+    for (view, y), n in counts.items():
+        cut = min(1 << 40, int(1.3 * rows / n * (1 << 40)))
+        within = within | ((F.col("view") == view) & (F.col("y") == y) & (draw < cut))
+    drawn = ids.where(within).select("doc_id", "view", "y", draw.alias("draw")).distinct()
+    # A bounded sample by construction: 4 times 1.3 times ``rows`` on average.
+    chosen = features(docs.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi"))
+    out = sorted(chosen.join(F.broadcast(drawn), "doc_id").collect(), key=lambda r: (r["draw"], r["doc_id"], r["tx"]))
+    taken: dict[tuple[int, int], int] = {}
+    kept = []
+    for r in out:
+        group = (r["view"], r["y"])
+        taken[group] = taken.get(group, 0) + 1
+        if taken[group] <= rows:
+            kept.append(r)
+    return kept
 
 
 def train(
@@ -247,10 +267,13 @@ def train(
     total = known.count()
     share = min(1.0, 1.2 * fit_rows / max(1, total))
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    feats = materialize(features(docs), "quality-views")
-    labelled = (
-        feats.join(picked, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "tx").limit(fit_rows).collect()
-    )
+    # ``picked`` holds 1.2 times ``fit_rows`` on average, so it and its features are small.
+    picked = materialize(picked, "quality-picked")
+    some = features(docs.join(F.broadcast(picked), "doc_id", "left_semi"))
+    labelled = sorted(
+        some.join(F.broadcast(picked), "doc_id").collect(),
+        key=lambda r: (xxhash.xxh64_intdigest(f"{seed}:{r['doc_id']}".encode()), r["tx"]),
+    )[:fit_rows]
     y = np.array([r["y"] for r in labelled], float)
     if min((y == 0).sum(), (y == 1).sum()) < 4:
         return Model(None, None, None, None, 1.0 if prior is None else float(prior))
@@ -259,7 +282,7 @@ def train(
     if min((y[held] == 0).sum(), (y[held] == 1).sum(), (y[~held] == 0).sum(), (y[~held] == 1).sum()) < 2:
         held = np.arange(len(y)) % 2 == 0
     extra: dict[int, list] = {0: [], 1: []}  # pseudo-labels that each view learns from
-    pool = feats.join(known.select("doc_id"), "doc_id", "left_anti")
+    known = materialize(known, "quality-known")
 
     centre = tx.mean(axis=0)
 
@@ -288,7 +311,7 @@ def train(
 
     model = fit()
     for turn in range(rounds):
-        new = _confident(pool, model, sure, pseudo_rows, seed + turn)
+        new = _confident(docs, known, model, sure, pseudo_rows, seed + turn)
         if not new:
             break
         for r in new:
