@@ -2,10 +2,10 @@
 
 Texts are words in lower case. Their five-word runs are labelled by occurrence; each of ``sketches`` hash
 orders picks its two smallest and keeps them in text order, so that a sketch agrees only where both
-the runs and their order do. Texts that agree in a sketch form a bucket. In each bucket the texts
-are paired with a leader drawn by hash, anew in each sketch, and, as a finer bucket, with the leader of
-those that agree in the third smallest run too. Pairs are verified by alignment: similarity is
-1 - edits / longer length in words, the band holds the edits allowed.
+the runs and their order do. Texts that agree in a sketch form a bucket; those that agree in the third
+smallest run too form a finer one. In each bucket the texts are paired with the text of the smallest id.
+Pairs are verified by alignment: similarity is 1 - edits / longer length in words, the band holds the
+edits allowed; pairs that share too few word pairs to align are dropped before, exactly.
 
 Links are joined to classes; then buckets that still hold several classes are paired again, every text
 with a representative of every other class of its bucket (in buckets of more than ``crowd`` classes, of
@@ -32,6 +32,7 @@ from vitrine.llm.components import components
 from vitrine.session import materialize
 
 ROWS = 2_000_000  # cells of a band compared at once
+FEW = 64  # edits looked for one diagonal at a time
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -75,12 +76,49 @@ def order_minhash(runs: np.ndarray, sketches: int) -> tuple[np.ndarray, np.ndarr
     return keys, third
 
 
+def _enough_shared(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Exact filter: ``most`` edits leave at least so many common runs of two and of three words."""
+    for k in (2, 3):
+        needed = max(len(a), len(b)) - k + 1 - k * most
+        if needed <= 0:
+            continue
+        x, y = np.sort(gram_hashes(a, k)), np.sort(gram_hashes(b, k))
+        values, counts = np.unique(x, return_counts=True)
+        there = np.searchsorted(y, values, "right") - np.searchsorted(y, values, "left")
+        if int(np.minimum(counts, there).sum()) < needed:
+            return False
+    return True
+
+
+def _few_edits(a: list[int], b: list[int], most: int) -> int | None:
+    """Edit distance up to a small ``most``: furthest-reaching points, one diagonal at a time."""
+    n, m = len(a), len(b)
+    off = most + 1
+    far = [-2] * (2 * most + 3)
+    far[off] = -1
+    for d in range(most + 1):
+        new = [-2] * (2 * most + 3)
+        for k in range(max(-d, -n), min(d, m) + 1):
+            at = off + k
+            x = max(far[at] + 1, far[at + 1] + 1, far[at - 1]) if d else 0
+            if x < 0 or x + k < 0:
+                continue
+            x = min(x, n, m - k)
+            while x < n and x + k < m and a[x] == b[x + k]:
+                x += 1
+            new[at] = x
+            if x >= n and x + k >= m:
+                return d
+        far = new
+    return None
+
+
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences of word hashes if it is at most ``most``, else None.
 
-    Furthest-reaching points on the diagonals of a band that doubles until it holds the distance. Equal
-    runs along the diagonals come from one comparison of the band, or from prefix hashes if the
-    band is large.
+    Furthest-reaching points on the diagonals of a band: first for a few edits, then with all diagonals
+    at once in a band that grows until it holds the distance. There, equal runs along the diagonals come
+    from one comparison of the band, or from prefix hashes if the band is large.
     """
     if abs(len(a) - len(b)) > most:
         return None
@@ -98,7 +136,12 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     n, m = len(a), len(b)
     if not n:
         return m if m <= most else None
-    band = min(most, max(8, m - n))
+    few = min(most, FEW)
+    if m - n <= few:
+        found = _few_edits(a.tolist(), b.tolist(), few)
+        if found is not None or few == most:
+            return found
+    band = min(most, max(2 * FEW, m - n, 8))
     while True:
         found = _within(a, b, band)
         if found is not None or band >= most:
@@ -159,7 +202,10 @@ def _within(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
 def alike(a: list[bytes], b: list[bytes], least: float) -> bool:
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
-    return abs(len(a) - len(b)) <= most and edits(word_hashes(a), word_hashes(b), most) is not None
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = word_hashes(a), word_hashes(b)
+    return _enough_shared(x, y, most) and edits(x, y, most) is not None
 
 
 def profiles(docs: DataFrame, k: int, sketches: int) -> DataFrame:
@@ -223,26 +269,23 @@ def classes(
     reps = reps.dropDuplicates(["doc_id", "fp"])
     rows = reps.select(
         F.col("doc_id").alias("d"), "n", F.posexplode(F.arrays_zip(F.col("keys").alias("k"), F.col("third").alias("t"))).alias("j", "x")
-    ).select("d", "n", F.xxhash64("j", "x.k").alias("key"), F.xxhash64("j", "x.k", "x.t").alias("fine"), F.xxhash64("d", "j").alias("draw"))
-    rows = materialize(rows, "near-buckets")
-
-    def led(by: str) -> DataFrame:
-        lead = rows.groupBy(by).agg(F.min_by("d", F.struct("draw", "d")).alias("o"), F.min_by("n", F.struct("draw", "d")).alias("on"), F.count("*").alias("c"))
-        lead = lead.where("c > 1")
-        return rows.join(lead, by).select("d", "o", "n", "on")
+    ).select("d", "n", F.xxhash64("j", "x.k").alias("key"), F.xxhash64("j", "x.k", "x.t").alias("fine"))
+    lead = rows.groupBy("key").agg(F.min(F.struct("d", "n")).alias("o"), F.count("*").alias("c")).where("c > 1")
+    lead = lead.select("key", F.col("o.d").alias("o"), F.col("o.n").alias("on"))
+    rows = materialize(rows.join(lead, "key"), "near-buckets")
 
     def to_test(p: DataFrame) -> DataFrame:
         # Length filter: fewer edits than the difference in length cannot align them.
         fits = F.abs(F.col("n") - F.col("on")) <= (1 - least) * F.greatest("n", "on") + 1e-9
         return p.where((F.col("d") != F.col("o")) & fits).select(F.least("d", "o").alias("a"), F.greatest("d", "o").alias("b")).distinct()
 
-    pairs = materialize(to_test(led("key").unionByName(led("fine"))), "near-pairs")
+    pairs = materialize(to_test(rows), "near-pairs")
     links = materialize(_verified(pairs, docs, least), "near-links")
     joined = materialize(components(links), "near-roots")
 
     # Buckets that still hold several classes: each text with every other class there.
-    placed = rows.join(joined.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-    placed = materialize(placed, "near-placed")
+    placed = rows.drop("o", "on").join(joined.withColumnRenamed("node", "d"), "d", "left")
+    placed = materialize(placed.withColumn("root", F.coalesce("root", "d")), "near-placed")
 
     def crossing(by: str, held: DataFrame) -> DataFrame:
         members = held.groupBy(by, "root").agg(F.min("d").alias("o"), F.min_by("n", "d").alias("on"))
