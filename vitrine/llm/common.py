@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A written table of one number a row: marked for broadcast if it is counted to be small.
+
+    Beyond ``most`` rows (16 MB) the join shuffles instead.
+    """
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def text_key(text: Column | str) -> Column:
     """64-bit hash of a text; with the id it names a row where ids repeat or are null."""
     return F.xxhash64(text)

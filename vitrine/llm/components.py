@@ -16,6 +16,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = materialize(edges, "links")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     last = None
     for _ in range(max_rounds):
         # Large star: every larger neighbour of a node is linked to the node's smallest one.
@@ -23,7 +25,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")

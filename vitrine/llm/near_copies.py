@@ -8,9 +8,11 @@ Pairs are verified by alignment: similarity is 1 - edits / longer length in word
 edits allowed; pairs that share too few word pairs to align are dropped before, exactly.
 
 Links are joined to classes; then buckets that still hold several classes are paired again, every text
-with a representative of every other class of its bucket (in buckets of more than ``crowd`` classes, of
-its finer bucket), so that no link is lost to the choice of leaders. That linear rule replaces all pairs of
-a bucket. Texts with the same words are one text before all this and share its class.
+with the representative (smallest id there) of every other class of its bucket, so that no link is lost to
+the choice of leaders; in buckets of more than ``crowd`` texts representative with representative. Buckets of
+more than ``crowd`` classes are split first: by the third smallest run, then by the next sketch too. So the
+pairs of a bucket grow with its texts, never with their square. Texts with the same words are one
+text before all this and share its class.
 
 Null texts are empty. A text without words is alone in its class; under five words the whole text is
 its one run. Rows with a null id are left out of classes (class null). Rows that repeat an id are one
@@ -27,16 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import U64, gram_hashes, mix, word_hashes
+from vitrine.llm.common import U64, gram_hashes, mix, small, word_hashes
 from vitrine.llm.components import components
 from vitrine.session import materialize
 
 ROWS = 2_000_000  # cells of a band compared at once
-FEW = 64  # edits looked for one diagonal at a time
+FEW = 100  # edits looked for one diagonal at a time
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return [w.encode() for w in text.lower().split()] if text else []
+    return text.lower().encode().split() if text else []
 
 
 def labelled_runs(words: list[bytes], k: int) -> np.ndarray:
@@ -241,7 +243,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """The pairs ``(a, b)`` whose texts align."""
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t"))
     texts = texts.where("_id is not null")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    needed = small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "pair-ids"))
     # One text per id: of rows that repeat an id the smallest text stands for it.
     texts = materialize(
         texts.join(needed, "_id", "left_semi").groupBy("_id").agg(F.min("_t").alias("_t")), "pair-texts"
@@ -260,16 +262,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
 
 def classes(
-    docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 32, crowd: int = 32
+    docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 32, crowd: int = 16
 ) -> DataFrame:
     """``(doc_id, class_id, n_words)`` per row of ``docs``; the class id is its smallest doc_id."""
     prof = materialize(profiles(docs, k, sketches), "near-profiles")
     same = prof.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = prof.where("n > 0").join(same, (prof["fp"] == same["fp"]) & (prof["doc_id"] == same["rep"]), "left_semi")
     reps = reps.dropDuplicates(["doc_id", "fp"])
+    after = lambda c: F.concat(F.slice(c, 2, sketches), F.slice(c, 1, 1))
     rows = reps.select(
-        F.col("doc_id").alias("d"), "n", F.posexplode(F.arrays_zip(F.col("keys").alias("k"), F.col("third").alias("t"))).alias("j", "x")
-    ).select("d", "n", F.xxhash64("j", "x.k").alias("key"), F.xxhash64("j", "x.k", "x.t").alias("fine"))
+        F.col("doc_id").alias("d"),
+        "n",
+        F.posexplode(F.arrays_zip(F.col("keys").alias("k"), F.col("third").alias("t"), after("keys").alias("k2"))).alias("j", "x"),
+    ).select(
+        "d", "n", F.xxhash64("j", "x.k").alias("key"), F.xxhash64("j", "x.k", "x.t").alias("fine"), F.xxhash64("j", "x.t", "x.k2").alias("finest")
+    )
     lead = rows.groupBy("key").agg(F.min(F.struct("d", "n")).alias("o"), F.count("*").alias("c")).where("c > 1")
     lead = lead.select("key", F.col("o.d").alias("o"), F.col("o.n").alias("on"))
     rows = materialize(rows.join(lead, "key"), "near-buckets")
@@ -287,22 +294,35 @@ def classes(
     placed = rows.drop("o", "on").join(joined.withColumnRenamed("node", "d"), "d", "left")
     placed = materialize(placed.withColumn("root", F.coalesce("root", "d")), "near-placed")
 
-    def crossing(by: str, held: DataFrame) -> DataFrame:
-        members = held.groupBy(by, "root").agg(F.min("d").alias("o"), F.min_by("n", "d").alias("on"))
-        members = members.withColumnRenamed("root", "oroot")
-        return held.join(members, by).where("root <> oroot").select("d", "o", "n", "on")
-
-    def crowded(by: str) -> DataFrame:
-        seen = placed.select(by, "root").distinct().groupBy(by).agg(F.count("*").alias("held"))
-        return seen.where("held > 1")
-
-    some = materialize(crowded("key"), "near-crowded")
-    plain = placed.join(some.where(F.col("held") <= crowd), "key", "left_semi")
-    dense = placed.join(some.where(F.col("held") > crowd), "key", "left_semi")
-    more = to_test(crossing("key", plain).unionByName(crossing("fine", dense)))
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "near-more-pairs")
-    links = links.unionByName(_verified(more, docs, least))
-    roots = materialize(components(links), "near-classes")
+    def crossing(by: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs across the classes of the buckets that are not too crowded, and the rows of the others."""
+        members = held.groupBy(by, "root").agg(F.min(F.struct("d", "n")).alias("o"), F.count("*").alias("m"))
+        sizes = members.groupBy(by).agg(F.count("*").alias("held"), F.sum("m").alias("m")).where("held > 1")
+        sizes = materialize(sizes, "near-bucket-sizes")
+        heads = members.select(by, F.col("root").alias("oroot"), F.col("o.d").alias("o"), F.col("o.n").alias("on"))
+        heads = heads.join(sizes.where(F.col("held") <= crowd), by)
+        alone = held.join(heads.select(by, F.col("o").alias("d"), "m").where(F.col("m") > crowd).drop("m"), [by, "d"], "left_semi")
+        few = held.join(sizes.where((F.col("held") <= crowd) & (F.col("m") <= crowd)), by, "left_semi")
+        cross = few.unionByName(alone).join(heads, by).where("root <> oroot").select("d", "o", "n", "on")
+        return cross, held.join(sizes.where(F.col("held") > crowd), by, "left_semi")
+
+    found, rest = None, placed
+    for by in ("key", "fine", "finest"):
+        cross, rest = crossing(by, rest)
+        rest = materialize(rest, "near-crowded")
+        found = cross if found is None else found.unionByName(cross)
+    more = materialize(to_test(found).join(pairs, ["a", "b"], "left_anti"), "near-more-pairs")
+    more = materialize(_verified(more, docs, least), "near-more-links")
+    # Only classes are joined now: a link between two texts is one between their roots.
+    of = joined.select(F.col("node"), "root")
+    up = more.join(of.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(
+        of.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left"
+    )
+    up = up.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+    higher = components(up).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    ids = joined.select("node", "root").unionByName(up.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
+    roots = ids.join(higher, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root"))
+    roots = materialize(roots, "near-classes")
 
     rep_class = same.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("class_id")
