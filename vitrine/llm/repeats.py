@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import U64, gram_hashes, word_hashes
+from vitrine.llm.common import U64, gram_hashes, small, word_hashes
 from vitrine.session import materialize
 
 RUN = 5
@@ -181,6 +181,8 @@ def occurrences(docs: DataFrame, width: int = 13, shard_regions: int = 20_000, h
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     kinds = "seed long, doc_id long, at long, windows long, words binary"
+    wanted = materialize(wanted, "repeat-wanted")
+    texts = texts.join(small(materialize(wanted.select("doc_id"), "repeat-ids")), "doc_id", "left_semi")
     regions = texts.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_regions(width), kinds)
     regions = materialize(regions.withColumn("print", F.xxhash64("words")), "regions")
 
@@ -224,7 +226,12 @@ def dedup(docs: DataFrame, width: int = 13, **params) -> DataFrame:
     marks = starts.join(copies, "doc_id", "full_outer").select(F.col("doc_id").alias("_id"), "starts", "copy")
     marks = materialize(marks, "repeat-marks")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(marks, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "starts", "copy")
+    # Documents without a mark need no join with the marks.
+    marked = small(materialize(marks.select("_id"), "repeat-marked"))
+    same = F.col("doc_id") == F.col("_id")
+    plain = rows.join(marked, same, "left_anti").withColumns({"starts": F.lit(None).cast("array<long>"), "copy": F.lit(None).cast("boolean")})
+    hit = rows.join(marked, same, "left_semi").join(marks, same)
+    rows = plain.unionByName(hit.select("doc_id", "text", "starts", "copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
