@@ -8,7 +8,7 @@ starts in a document with a smaller id. Windows are judged on the input.
 2. Consecutive windows with the same recurring seed form a region. Equal regions become one row with
    the smallest id.
 3. Regions are dealt to shards by seed. In a shard the windows that recur are confirmed word by word
-   and compiled into an Aho-Corasick automaton, and all its regions stream through it to locate every
+   and compiled into an Aho-Corasick automaton over words, and all its regions stream through it to locate every
    occurrence. A seed with too many different regions is first cut into single windows, which are
    dealt by their own words, so that one passage never fills a task.
 4. Occurrences go back to their documents as word ranges.
@@ -123,36 +123,28 @@ def _locate(width: int):
     """One shard of distinct regions: ``(key, print, off, first)`` of every window that recurs."""
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        first: dict[str, int] = {}
-        again: set[str] = set()
-        regions = [t.decode() for t in shard["words"]]
-        for text, low, high in zip(regions, shard["first"].tolist(), shard["last"].tolist()):
-            words = text.split(" ")
+        number: dict[bytes, int] = {}  # words of this shard
+        regions = [tuple([number.setdefault(w, len(number)) for w in t.split(b" ")]) for t in shard["words"]]
+        first: dict[tuple, int] = {}
+        again: set[tuple] = set()
+        for words, low, high in zip(regions, shard["first"].tolist(), shard["last"].tolist()):
             for i in range(len(words) - width + 1):
-                phrase = " ".join(words[i : i + width])
-                seen = first.get(phrase)
-                if seen is None:
-                    first[phrase] = low
-                    if high != low:
-                        again.add(phrase)
-                else:
-                    if seen != low or high != low:
-                        again.add(phrase)
+                phrase = words[i : i + width]
+                seen = first.setdefault(phrase, low)
+                if seen != low or high != low:
+                    again.add(phrase)
                     if low < seen:
                         first[phrase] = low
         out: list[tuple] = []
         if again:
-            automaton = ahocorasick.Automaton()
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            lows = []
             for phrase in again:
-                automaton.add_word(f" {phrase} ", (first[phrase], len(phrase)))
+                automaton.add_word(phrase, len(lows))
+                lows.append(first[phrase])
             automaton.make_automaton()
-            for i, text in enumerate(regions):
-                padded = f" {text} "
-                starts = None
-                for end, (low, size) in automaton.iter(padded):
-                    if starts is None:  # word number by the place of the blank before it
-                        starts = {p: k for k, p in enumerate(j for j, c in enumerate(padded) if c == " ")}
-                    out.append((i, starts[end - size - 1], low))
+            for i, words in enumerate(regions):
+                out += [(i, end - width + 1, lows[k]) for end, k in automaton.iter(words)]
         at = [r[0] for r in out]
         return pd.DataFrame(
             {
