@@ -154,6 +154,8 @@ LABELLED = np.array(
         (60, 0.1, 1, 0.0, 0, 0.0, 0, 1, 0, 1), (5, 0.0, 2, 0.0, 3, 0.0, 0, 1, 0, 1), (25, 0.2, 30, 0.0, 10, 0.3, 0, 1, 0, 1),
         (2, 0.0, 0, 0.0, 1, 0.0, 0, 1, 1, 1), (9, 0.0, 1, 1.0, 0, 0.0, 0, 1, 0, 1), (3, 0.33, 50, 0.0, 70, 0.0, 0, 1, 0, 1),
         (15, 0.0, 45, 0.0, 4, 1.0, 0, 1, 0, 1), (6, 0.0, 7, 0.0, 100, 0.0, 0, 1, 1, 1), (40, 0.45, 90, 0.0, 30, 0.0, 0, 1, 0, 1),
+        (7, 0.14, 1, 0.0, 1, 1.0, 0, 1, 0, 1), (2, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1), (1, 0.0, 3, 0.5, 2, 0.5, 0, 1, 0, 1),
+        (9, 0.3, 4, 1.0, 4, 1.0, 0, 1, 0, 1), (4, 0.5, 30, 0.0, 0, 0.0, 0, 1, 0, 1), (200, 0.05, 0, 0.0, 6, 1.0, 0, 1, 0, 1),
         # links only, in an article's element: lists of other pages
         (4, 1.0, 60, 0.0, 5, 1.0, 0, 1, 0, 0), (5, 1.0, 4, 1.0, 6, 1.0, 0, 1, 0, 0), (7, 1.0, 5, 1.0, 0, 0.0, 0, 1, 0, 0),
         (2, 1.0, 30, 0.0, 2, 1.0, 0, 1, 0, 0), (9, 0.9, 7, 1.0, 3, 1.0, 0, 1, 0, 0),

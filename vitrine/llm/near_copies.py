@@ -339,4 +339,4 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     """``docs`` without the documents whose class has a smaller id; all columns stay."""
     gone = classes(docs, **params).where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialize(gone, "near-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

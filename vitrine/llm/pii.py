@@ -209,11 +209,11 @@ def sanitise(docs: DataFrame, **params) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.concat("base", "added").alias("_spans")
     )
     found = found.where(F.size("_spans") > 0).dropDuplicates(["_id", "_tk"])
-    same = (text_key(docs["text"]) == F.col("_tk")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-    text = F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = docs.join(found, same, "left").withColumn("text", text)
+    # Columns are named through their frames: ``docs`` may hold any names.
+    spans, text = found["_spans"], docs["text"]
+    same = (text_key(text) == found["_tk"]) & docs["doc_id"].eqNullSafe(found["_id"])
+    changed = {"text": F.when(spans.isNotNull(), redacted(text, spans)).otherwise(text)}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed = F.when(F.col("_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed)
-    return out.select(*docs.columns)
+        size = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(spans.isNotNull(), size).otherwise(docs["n_chars"])
+    return docs.join(found, same, "left").select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
