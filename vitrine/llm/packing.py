@@ -46,7 +46,7 @@ class WordEncoder:
     words are remembered; beyond that the memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
