@@ -185,17 +185,24 @@ def test_repeats_against_brute_force(docs, hot):
     assert repeats.dedup(docs(data).where("false")).count() == 0
 
 
-@given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.integers(0, 4), max_size=40), st.integers(0, 25), st.sampled_from([0, 4, 100]), st.sampled_from([1, 10**6]))
-@settings(max_examples=200, deadline=None)
-def test_banded_alignment(a, b, most, few, cells):
-    near_copies.FEW, near_copies.ROWS = few, cells
+@given(
+    st.lists(st.integers(0, 4), max_size=40),
+    st.lists(st.integers(0, 4), max_size=40),
+    st.integers(0, 25),
+    st.sampled_from([(0, 0), (0, 4), (0, 100), (10**6, 0)]),
+    st.sampled_from([0, 10**6]),
+)
+@settings(max_examples=400, deadline=None)
+def test_banded_alignment(a, b, most, short_few, long):
+    fixed = near_copies.SHORT, near_copies.FEW, near_copies.LONG
+    near_copies.SHORT, near_copies.FEW, near_copies.LONG = *short_few, long
     try:
         want = brute.edit_distance(a, b)
         x, y = near_copies.mix(np.array(a, np.uint64) + np.uint64(1)), near_copies.mix(np.array(b, np.uint64) + np.uint64(1))
         assert near_copies.edits(x, y, most) == (want if want <= most else None)
         assert want > most or near_copies._enough_shared(x, y, most)
     finally:
-        near_copies.FEW, near_copies.ROWS = 100, 2_000_000
+        near_copies.SHORT, near_copies.FEW, near_copies.LONG = fixed
 
 
 def test_near_classes_against_all_pairs(docs):

@@ -33,8 +33,10 @@ from vitrine.llm.common import U64, gram_hashes, mix, small, word_hashes
 from vitrine.llm.components import components
 from vitrine.session import materialize
 
-ROWS = 2_000_000  # cells of a band compared at once
-FEW = 100  # edits looked for one diagonal at a time
+ROWS = 2_000_000  # hashes of a sketch drawn at once
+SHORT = 1_000  # words up to which the band is aligned at once
+FEW = 40  # edits looked for one diagonal at a time in longer texts
+LONG = 30_000  # words beyond which the bit masks of all words would be large
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -118,9 +120,10 @@ def _few_edits(a: list[int], b: list[int], most: int) -> int | None:
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences of word hashes if it is at most ``most``, else None.
 
-    Furthest-reaching points on the diagonals of a band: first for a few edits, then with all diagonals
-    at once in a band that grows until it holds the distance. There, equal runs along the diagonals come
-    from one comparison of the band, or from prefix hashes if the band is large.
+    Long texts are first tried with a few edits, one diagonal at a time. Then the band that holds every
+    alignment of ``most`` edits is computed column by column, its cells as the bits of whole numbers
+    (``_banded``). Texts beyond ``LONG`` words take a band of furthest-reaching points that grows until it
+    holds the distance, which needs memory in proportion to the text (``_within``).
     """
     if abs(len(a) - len(b)) > most:
         return None
@@ -138,12 +141,15 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     n, m = len(a), len(b)
     if not n:
         return m if m <= most else None
-    few = min(most, FEW)
-    if m - n <= few:
-        found = _few_edits(a.tolist(), b.tolist(), few)
-        if found is not None or few == most:
-            return found
-    band = min(most, max(2 * FEW, m - n, 8))
+    if m > SHORT:
+        few = min(most, FEW)
+        if m - n <= few:
+            found = _few_edits(a.tolist(), b.tolist(), few)
+            if found is not None or few == most:
+                return found
+    if m <= LONG:
+        return _banded(a.tolist(), b.tolist(), most)
+    band = min(most, max(200, m - n))
     while True:
         found = _within(a, b, band)
         if found is not None or band >= most:
@@ -151,40 +157,71 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         band = min(most, 4 * band)
 
 
+def _banded(a: list[int], b: list[int], most: int) -> int | None:
+    """Edit distance up to ``most`` by the bit-parallel recurrence on a diagonal band (Myers, Hyyroe).
+
+    ``a`` is not longer than ``b``. Bit i of column j stands for row ``j - above + i``. An alignment of
+    ``most`` edits stays within ``over`` diagonals beside those that join both corners.
+    """
+    n, m = len(a), len(b)
+    gap = m - n
+    if gap > most:
+        return None
+    over = min((most - gap) // 2, n)
+    above = gap + over
+    low = above + over  # the bit of the lowest row
+    mask = (2 << low) - 1
+    rows: dict[int, int] = {}
+    for i, word in enumerate(a):
+        rows[word] = rows.get(word, 0) | 1 << i
+    # Vertical steps of column 0, seen from column 1: +1 below row 0.
+    up = mask >> above << above
+    down = 0
+    score = over  # of the band's lowest row, later of row n
+    bit = low
+    for j, word in enumerate(b, 1):
+        shift = j - 1 - above
+        same = rows.get(word, 0)
+        if same:
+            same = (same >> shift if shift > 0 else same << -shift) & mask
+        flat = ((((same & up) + up) ^ up) | same | down) & mask  # no step along the diagonal
+        right = (down | ~(flat | up)) & mask
+        left = flat & up
+        if j <= n - over:
+            if not flat >> low:
+                score += 1
+        else:
+            bit -= 1
+            score += (right >> bit & 1) - (left >> bit & 1)
+        # The score never falls along a diagonal, and by one at most with each column along row n.
+        if score > most + min(above, m - j):
+            return None
+        flat >>= 1
+        up = (left | ~(flat | right)) & mask
+        down = flat & right
+    return score if score <= most else None
+
+
 def _within(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     n, m = len(a), len(b)
     diag = np.arange(-band, band + 1)
-    if (n + 1) * len(diag) <= ROWS:
-        at = np.arange(n)[:, None] + diag[None, :]
-        inside = (at >= 0) & (at < m)
-        unequal = ~inside
-        unequal[inside] = a[np.nonzero(inside)[0]] != b[at[inside]]
-        stop = np.where(unequal, np.arange(n)[:, None], n)
-        stop = np.vstack([np.minimum.accumulate(stop[::-1], axis=0)[::-1], np.full((1, len(diag)), n)])
-        cols = np.arange(len(diag))
-
-        def slide(x):
-            ok = (x >= 0) & (x <= n)
-            return np.where(ok, stop[np.clip(x, 0, n), cols], x)
-
-    else:
-        base = U64(0x9E3779B97F4A7C15)
-        size = max(n, m) + 1
-        powers = np.ones(size, U64)
-        np.cumprod(np.full(size - 1, base, U64), out=powers[1:])
-        ha = np.concatenate([np.zeros(1, U64), np.cumsum(a * powers[:n])])
-        hb = np.concatenate([np.zeros(1, U64), np.cumsum(b * powers[:m])])
-
-        def slide(x):
-            y = x + diag
-            ok = (x >= 0) & (x <= n) & (y >= 0) & (y <= m)
-            xs, ys = np.where(ok, x, 0), np.where(ok, y, 0)
-            low, high = np.zeros_like(x), np.where(ok, np.minimum(n - xs, m - ys), 0)
-            while (low < high).any():
-                mid = (low + high + 1) // 2
-                eq = (ha[xs + mid] - ha[xs]) * powers[ys] == (hb[ys + mid] - hb[ys]) * powers[xs]
-                low, high = np.where(eq, mid, low), np.where(eq, high, mid - 1)
-            return np.where(ok, x + low, x)
+    base = U64(0x9E3779B97F4A7C15)
+    size = max(n, m) + 1
+    powers = np.ones(size, U64)
+    np.cumprod(np.full(size - 1, base, U64), out=powers[1:])
+    ha = np.concatenate([np.zeros(1, U64), np.cumsum(a * powers[:n])])
+    hb = np.concatenate([np.zeros(1, U64), np.cumsum(b * powers[:m])])
+
+    def slide(x):
+        y = x + diag
+        ok = (x >= 0) & (x <= n) & (y >= 0) & (y <= m)
+        xs, ys = np.where(ok, x, 0), np.where(ok, y, 0)
+        low, high = np.zeros_like(x), np.where(ok, np.minimum(n - xs, m - ys), 0)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            eq = (ha[xs + mid] - ha[xs]) * powers[ys] == (hb[ys + mid] - hb[ys]) * powers[xs]
+            low, high = np.where(eq, mid, low), np.where(eq, high, mid - 1)
+        return np.where(ok, x + low, x)
 
     far = np.full(len(diag), -(1 << 40))
     far[band] = 0
@@ -201,12 +238,11 @@ def _within(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     return None
 
 
-def alike(a: list[bytes], b: list[bytes], least: float) -> bool:
-    longer = max(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
-    if abs(len(a) - len(b)) > most:
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Are two texts, as hashes of their words, at least so similar?"""
+    most = int((1 - least) * max(len(x), len(y)) + 1e-9)
+    if abs(len(x) - len(y)) > most:
         return False
-    x, y = word_hashes(a), word_hashes(b)
     return _enough_shared(x, y, most) and edits(x, y, most) is not None
 
 
@@ -254,9 +290,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [alike(words_of(x), words_of(y), least) for x, y in zip(ta, tb)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            for low in range(0, batch.num_rows, 512):
+                some = batch.slice(low, 512)
+                known: dict[int, np.ndarray] = {}  # texts of these rows; leaders stand in many
+                ok = []
+                for a, b, ta, tb in zip(*(some.column(i).to_pylist() for i in range(4))):
+                    for i, text in ((a, ta), (b, tb)):
+                        if i not in known:
+                            known[i] = word_hashes(words_of(text))
+                    ok.append(alike(known[a], known[b], least))
+                yield some.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
