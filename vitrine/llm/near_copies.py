@@ -305,7 +305,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
 
 def classes(
-    docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 32, crowd: int = 16
+    docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 64, crowd: int = 16
 ) -> DataFrame:
     """``(doc_id, class_id, n_words)`` per row of ``docs``; the class id is its smallest doc_id."""
     prof = materialize(profiles(docs, k, sketches), "near-profiles")
