@@ -309,7 +309,10 @@ def classes(
 ) -> DataFrame:
     """``(doc_id, class_id, n_words)`` per row of ``docs``; the class id is its smallest doc_id."""
     prof = materialize(profiles(docs, k, sketches), "near-profiles")
+    # Group minima are written before they are joined back: both sides of the join are then dealt
+    # anew, and Spark can split the rows of a hot group over tasks.
     same = prof.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    same = materialize(same, "near-same")
     reps = prof.where("n > 0").join(same, (prof["fp"] == same["fp"]) & (prof["doc_id"] == same["rep"]), "left_semi")
     reps = reps.dropDuplicates(["doc_id", "fp"])
     after = lambda c: F.concat(F.slice(c, 2, sketches), F.slice(c, 1, 1))
@@ -321,7 +324,7 @@ def classes(
         "d", "n", F.xxhash64("j", "x.k").alias("key"), F.xxhash64("j", "x.k", "x.t").alias("fine"), F.xxhash64("j", "x.t", "x.k2").alias("finest")
     )
     lead = rows.groupBy("key").agg(F.min(F.struct("d", "n")).alias("o"), F.count("*").alias("c")).where("c > 1")
-    lead = lead.select("key", F.col("o.d").alias("o"), F.col("o.n").alias("on"))
+    lead = materialize(lead.select("key", F.col("o.d").alias("o"), F.col("o.n").alias("on")), "near-leaders")
     rows = materialize(rows.join(lead, "key"), "near-buckets")
 
     def to_test(p: DataFrame) -> DataFrame:
