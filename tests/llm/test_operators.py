@@ -224,6 +224,23 @@ def test_near_classes_against_all_pairs(docs):
     assert near_copies.classes(docs(data).where("false")).count() == 0
 
 
+def test_near_copies_in_a_crowded_bucket(docs):
+    # One sketch; all texts share its smallest runs, which lie in a passage of 45 of their 100 words.
+    shared = [f"s{i}" for i in range(45)]
+    key = lambda w: near_copies.order_minhash(near_copies.labelled_runs([x.encode() for x in w], 5), 1)[0]
+    together = lambda w: key(w) == key(shared)
+    own = ([f"own{d}_{i}" for i in range(55)] + shared for d in range(2000))
+    texts = dict(enumerate([w for w in own if together(w)][:40]))
+    assert len(texts) == 40
+    for far, near in ((1000, 20), (1001, 30)):
+        drawn = ([f"new{far}_{n}_{i}" for i in range(20)] + texts[near][20:] for n in range(2000))
+        texts[far] = next(filter(together, drawn))
+    data = [(d, " ".join(w)) for d, w in texts.items()]
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.classes(docs(data), sketches=1).collect()}
+    assert got == brute.near_classes(data)
+    assert got[1000] == 20 and got[1001] == 30
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 40)] + [(5, 5), (60, 59), (59, 61)]
     got = dict(rows(components(spark.createDataFrame(links, "a long, b long"))))

@@ -2,17 +2,18 @@
 
 Texts are words in lower case. Their five-word runs are labelled by occurrence; each of ``sketches`` hash
 orders picks its two smallest and keeps them in text order, so that a sketch agrees only where both
-the runs and their order do. Texts that agree in a sketch form a bucket; those that agree in the third
-smallest run too form a finer one. In each bucket the texts are paired with the text of the smallest id.
+the runs and their order do. Texts that agree in a sketch form a bucket. In each bucket the texts are paired
+with the text of the smallest id.
 Pairs are verified by alignment: similarity is 1 - edits / longer length in words, the band holds the
 edits allowed; pairs that share too few word pairs to align are dropped before, exactly.
 
-Links are joined to classes; then buckets that still hold several classes are paired again, every text
-with the representative (smallest id there) of every other class of its bucket, so that no link is lost to
-the choice of leaders; in buckets of more than ``crowd`` texts representative with representative. Buckets of
-more than ``crowd`` classes are split first: by the third smallest run, then by the next sketch too. So the
-pairs of a bucket grow with its texts, never with their square. Texts with the same words are one
-text before all this and share its class.
+Links are joined to classes; buckets that still hold several classes are looked at again. Up to ``crowd`` texts
+are paired each with each of another class; of larger buckets with up to ``crowd`` classes the smallest ids of
+the classes are paired, and classes joined. All texts of larger buckets that hold several classes even then
+are paired by a prefix filter: texts alike must share one of their rarest runs of two words (so many that it
+follows from the edits allowed), whatever common passage brought them together. So every link between
+texts of a bucket joins their classes, and no list of all pairs of a large bucket is made. Texts with the
+same words are one text before all this and share its class.
 
 Null texts are empty. A text without words is alone in its class; under five words the whole text is
 its one run. Rows with a null id are left out of classes (class null). Rows that repeat an id are one
@@ -21,6 +22,7 @@ document if their words are the same. An empty table gives no rows; other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ ROWS = 2_000_000  # hashes of a sketch drawn at once
 SHORT = 1_000  # words up to which the band is aligned at once
 FEW = 40  # edits looked for one diagonal at a time in longer texts
 LONG = 30_000  # words beyond which the bit masks of all words would be large
+SLOTS = 1 << 20  # counters that order the runs of two words by rarity
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,10 +61,10 @@ def labelled_runs(words: list[bytes], k: int) -> np.ndarray:
     return mix(g + occ * U64(0x9E3779B97F4A7C15))
 
 
-def order_minhash(runs: np.ndarray, sketches: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per sketch a key of the two smallest runs in text order, and the third smallest run."""
+def order_minhash(runs: np.ndarray, sketches: int) -> np.ndarray:
+    """Per sketch a key of the two smallest runs in text order."""
     seeds = mix(np.arange(1, sketches + 1).astype(U64) * U64(0xA24BAED4963EE407))
-    keys, third = np.empty(sketches, U64), np.empty(sketches, U64)
+    keys = np.empty(sketches, U64)
     top = U64(2**64 - 1)
     step = max(1, ROWS // max(1, len(runs)))
     for lo in range(0, sketches, step):
@@ -70,14 +73,13 @@ def order_minhash(runs: np.ndarray, sketches: int) -> tuple[np.ndarray, np.ndarr
         v ^= v >> U64(32)
         rows = np.arange(len(v))
         picks = []
-        for _ in range(3):
+        for _ in range(2):
             i = v.argmin(axis=1)
             picks.append(i)
             v[rows, i] = top
         one, two = np.minimum(picks[0], picks[1]), np.maximum(picks[0], picks[1])
         keys[lo : lo + step] = mix(mix(runs[one] + seeds[lo : lo + step]) * U64(3) + runs[two])
-        third[lo : lo + step] = runs[picks[2]]
-    return keys, third
+    return keys
 
 
 def _enough_shared(a: np.ndarray, b: np.ndarray, most: int) -> bool:
@@ -247,43 +249,44 @@ def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
 
 
 def profiles(docs: DataFrame, k: int, sketches: int) -> DataFrame:
-    """``(doc_id, fp, n, keys, third)`` per row: print of the words, word count, sketches."""
+    """``(doc_id, fp, n, keys)`` per row: print of the words, word count, sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
-                prints, counts, keys, third = [], [], [], []
+                prints, counts, keys = [], [], []
                 for text in some.column(1).to_pylist():
                     words = words_of(text)
                     prints.append(xxhash.xxh128_digest(b" ".join(words)))
                     counts.append(len(words))
                     if words:
-                        x, y = order_minhash(labelled_runs(words, k), sketches)
-                        keys.append(x.view(np.int64))
-                        third.append(y.view(np.int64))
+                        keys.append(order_minhash(labelled_runs(words, k), sketches).view(np.int64))
                     else:
                         keys.append(np.empty(0, np.int64))
-                        third.append(np.empty(0, np.int64))
                 lists = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, lists), pa.array(third, lists)],
-                    names=["doc_id", "fp", "n", "keys", "third"],
+                    [some.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, lists)],
+                    names=["doc_id", "fp", "n", "keys"],
                 )
 
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cols.mapInArrow(run, "doc_id long, fp binary, n long, keys array<long>, third array<long>")
+    return cols.mapInArrow(run, "doc_id long, fp binary, n long, keys array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts align."""
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(_id, _t)`` of the ids ``_id``, written; of rows that repeat an id the smallest text stands for it."""
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t"))
     texts = texts.where("_id is not null")
-    needed = small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "pair-ids"))
-    # One text per id: of rows that repeat an id the smallest text stands for it.
-    texts = materialize(
+    needed = small(materialize(ids, "pair-ids"))
+    return materialize(
         texts.join(needed, "_id", "left_semi").groupBy("_id").agg(F.min("_t").alias("_t")), "pair-texts"
     )
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts align."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), docs)
     rows = pairs.join(texts.withColumnsRenamed({"_id": "a", "_t": "ta"}), "a").join(
         texts.withColumnsRenamed({"_id": "b", "_t": "tb"}), "b"
     )
@@ -304,6 +307,81 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def prefix_of(runs: np.ndarray, n: int, counts: np.ndarray, k: int, least: float) -> np.ndarray:
+    """The rarest runs of a text of ``n`` words, one of which every text alike shares among its own rarest.
+
+    Texts alike have ``needed`` labelled runs of ``k`` words in common at least, so the first
+    ``len(runs) - needed + 1`` of both, in one order for all texts, cannot be apart. Runs that no other text
+    has are left out.
+    """
+    seen = counts[(runs % U64(SLOTS)).astype(np.int64)]
+    needed = max(1, math.ceil(n * (1 - k * (1 - least)) - (k - 1) - 1e-6))
+    first = np.lexsort((runs, seen))[: max(0, len(runs) - needed + 1)]
+    return runs[first][seen[first] > 1]
+
+
+def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(d, o, n, on)`` of the texts ``held(d, root)``, of unlike roots, that may align: an exact filter.
+
+    The order of the runs is their count among these texts, summed in ``SLOTS`` slots by hash.
+    """
+    k = 2 if least >= 0.7 else 1  # beyond, two words that change may leave no run of two in common
+    held = materialize(held, "near-held")
+    texts = _texts(held.select(F.col("d").alias("_id")).distinct(), docs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                split = map(words_of, batch.column(0).slice(low, 512).to_pylist())
+                runs = np.concatenate([np.empty(0, U64), *(labelled_runs(words, k) for words in split if words)])
+                total += np.bincount((runs % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    table = texts.select("_t").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                some = batch.slice(low, 512)
+                ids, sizes, found = [], [], [np.empty(0, U64)]
+                for d, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    words = words_of(text)
+                    if words:
+                        found.append(prefix_of(labelled_runs(words, k), len(words), sent.value, k, least))
+                        ids.append(np.full(len(found[-1]), d, np.int64))
+                        sizes.append(np.full(len(found[-1]), len(words), np.int64))
+                if ids:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found).view(np.int64))],
+                        names=["d", "n", "run"],
+                    )
+
+    runs = texts.select("_id", "_t").mapInArrow(prefixes, "d long, n long, run long")
+    runs = materialize(runs.join(held, "d"), "near-prefixes")
+    other = runs.withColumnsRenamed({"d": "o", "n": "on", "root": "oroot"})
+    fits = F.abs(F.col("n") - F.col("on")) <= (1 - least) * F.greatest("n", "on") + 1e-9
+    return runs.join(other, "run").where((F.col("d") < F.col("o")) & (F.col("root") != F.col("oroot")) & fits).select("d", "o", "n", "on")
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``joined(node, root)`` with the classes that ``links(a, b)`` connect made one."""
+    # Only classes are joined: a link between two texts is one between their roots.
+    of = joined.select(F.col("node"), "root")
+    up = links.join(of.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(
+        of.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left"
+    )
+    up = up.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+    higher = components(up).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    ids = joined.select("node", "root").unionByName(up.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
+    roots = ids.join(higher, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root"))
+    return materialize(roots, "near-classes")
+
+
 def classes(
     docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 64, crowd: int = 16
 ) -> DataFrame:
@@ -315,13 +393,8 @@ def classes(
     same = materialize(same, "near-same")
     reps = prof.where("n > 0").join(same, (prof["fp"] == same["fp"]) & (prof["doc_id"] == same["rep"]), "left_semi")
     reps = reps.dropDuplicates(["doc_id", "fp"])
-    after = lambda c: F.concat(F.slice(c, 2, sketches), F.slice(c, 1, 1))
-    rows = reps.select(
-        F.col("doc_id").alias("d"),
-        "n",
-        F.posexplode(F.arrays_zip(F.col("keys").alias("k"), F.col("third").alias("t"), after("keys").alias("k2"))).alias("j", "x"),
-    ).select(
-        "d", "n", F.xxhash64("j", "x.k").alias("key"), F.xxhash64("j", "x.k", "x.t").alias("fine"), F.xxhash64("j", "x.t", "x.k2").alias("finest")
+    rows = reps.select(F.col("doc_id").alias("d"), "n", F.posexplode("keys").alias("j", "x")).select(
+        "d", "n", F.xxhash64("j", "x").alias("key")
     )
     lead = rows.groupBy("key").agg(F.min(F.struct("d", "n")).alias("o"), F.count("*").alias("c")).where("c > 1")
     lead = materialize(lead.select("key", F.col("o.d").alias("o"), F.col("o.n").alias("on")), "near-leaders")
@@ -336,39 +409,33 @@ def classes(
     links = materialize(_verified(pairs, docs, least), "near-links")
     joined = materialize(components(links), "near-roots")
 
-    # Buckets that still hold several classes: each text with every other class there.
-    placed = rows.drop("o", "on").join(joined.withColumnRenamed("node", "d"), "d", "left")
-    placed = materialize(placed.withColumn("root", F.coalesce("root", "d")), "near-placed")
-
-    def crossing(by: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs across the classes of the buckets that are not too crowded, and the rows of the others."""
-        members = held.groupBy(by, "root").agg(F.min(F.struct("d", "n")).alias("o"), F.count("*").alias("m"))
-        sizes = members.groupBy(by).agg(F.count("*").alias("held"), F.sum("m").alias("m")).where("held > 1")
-        sizes = materialize(sizes, "near-bucket-sizes")
-        heads = members.select(by, F.col("root").alias("oroot"), F.col("o.d").alias("o"), F.col("o.n").alias("on"))
-        heads = heads.join(sizes.where(F.col("held") <= crowd), by)
-        alone = held.join(heads.select(by, F.col("o").alias("d"), "m").where(F.col("m") > crowd).drop("m"), [by, "d"], "left_semi")
-        few = held.join(sizes.where((F.col("held") <= crowd) & (F.col("m") <= crowd)), by, "left_semi")
-        cross = few.unionByName(alone).join(heads, by).where("root <> oroot").select("d", "o", "n", "on")
-        return cross, held.join(sizes.where(F.col("held") > crowd), by, "left_semi")
-
-    found, rest = None, placed
-    for by in ("key", "fine", "finest"):
-        cross, rest = crossing(by, rest)
-        rest = materialize(rest, "near-crowded")
-        found = cross if found is None else found.unionByName(cross)
-    more = materialize(to_test(found).join(pairs, ["a", "b"], "left_anti"), "near-more-pairs")
-    more = materialize(_verified(more, docs, least), "near-more-links")
-    # Only classes are joined now: a link between two texts is one between their roots.
-    of = joined.select(F.col("node"), "root")
-    up = more.join(of.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(
-        of.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left"
-    )
-    up = up.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
-    higher = components(up).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    ids = joined.select("node", "root").unionByName(up.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
-    roots = ids.join(higher, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root"))
-    roots = materialize(roots, "near-classes")
+    def rooted(held: DataFrame, roots: DataFrame) -> DataFrame:
+        held = held.join(roots.withColumnRenamed("node", "d"), "d", "left")
+        return held.withColumn("root", F.coalesce("root", "d"))
+
+    # Buckets that still hold several classes.
+    placed = materialize(rooted(rows.select("key", "d", "n"), joined), "near-placed")
+    members = placed.groupBy("key", "root").agg(F.min(F.struct("d", "n")).alias("o"), F.count("*").alias("m"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("held"), F.sum("m").alias("m")).where("held > 1")
+    sizes = materialize(sizes, "near-bucket-sizes")
+    heads = members.select("key", "root", F.col("o.d").alias("d"), F.col("o.n").alias("n"))
+    # At most ``crowd`` texts: each with each of another class. At most ``crowd`` classes: their smallest ids.
+    few = placed.join(sizes.where(F.col("m") <= crowd), "key", "left_semi")
+    heads = heads.join(sizes.where((F.col("m") > crowd) & (F.col("held") <= crowd)), "key", "left_semi")
+    some = materialize(few.select("key", "root", "d", "n").unionByName(heads), "near-some")
+    other = some.withColumnsRenamed({"root": "oroot", "d": "o", "n": "on"})
+    cross = some.join(other, "key").where("root <> oroot and d < o")
+    more = materialize(to_test(cross).join(pairs, ["a", "b"], "left_anti"), "near-more-pairs")
+    joined = _merged(joined, materialize(_verified(more, docs, least), "near-more-links"))
+
+    # Larger buckets that hold several classes even now: all their texts, by an exact filter.
+    large = placed.join(sizes.where(F.col("m") > crowd), "key", "left_semi").select("key", "d")
+    large = materialize(rooted(large, joined), "near-large")
+    split = large.select("key", "root").distinct().groupBy("key").count().where("count > 1").select("key")
+    held = large.join(materialize(split, "near-split"), "key", "left_semi").select("d", "root").distinct()
+    tested = pairs.unionByName(more)
+    last = materialize(to_test(_sharing(held, docs, least)).join(tested, ["a", "b"], "left_anti"), "near-last-pairs")
+    roots = _merged(joined, materialize(_verified(last, docs, least), "near-last-links"))
 
     rep_class = same.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("class_id")
