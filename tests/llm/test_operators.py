@@ -241,6 +241,48 @@ def test_near_copies_in_a_crowded_bucket(docs):
     assert got[1000] == 20 and got[1001] == 30
 
 
+def _drifting(start, end, steps, far):
+    """A text of 100 words whose words from ``start`` to ``end`` are new ones, by ``far``."""
+    return [f"new{far}_{i}" if start <= i < end else w for i, w in enumerate(steps)]
+
+
+def test_near_copies_linked_by_members_that_lead_nothing(docs):
+    # 1 ~ 3 ~ 4 ~ 2 and no other link between them, in one bucket of more than 16 texts.
+    one = [f"w{i}" for i in range(100)]
+    three = _drifting(0, 20, one, "a")
+    four = _drifting(20, 40, three, "b")
+    two = _drifting(40, 60, four, "c")
+    texts = {1: one, 2: two, 3: three, 4: four}
+    texts |= {100 + i: _drifting(99, 100, one, f"x{i}") for i in range(20)}
+    key = lambda w: near_copies.order_minhash(near_copies.labelled_runs([x.encode() for x in w], 5), 1)[0]
+    for n in range(500):
+        # Words renamed until all texts share the one sketch.
+        data = {d: [f"{n}{x}" for x in w] for d, w in texts.items()}
+        if len({key(w) for w in data.values()}) == 1:
+            break
+    assert len({key(w) for w in data.values()}) == 1
+    data = [(d, " ".join(w)) for d, w in data.items()]
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.classes(docs(data), sketches=1).collect()}
+    assert got == brute.near_classes(data)
+    assert set(got.values()) == {1}
+
+
+def test_near_classes_of_drifting_copies(docs):
+    # Each copy changes an earlier one; links in all, counted over all pairs.
+    r = random.Random(11)
+    texts = [[f"w{i}" for i in range(60)]]
+    for i in range(1, 200):
+        words = list(r.choice(texts))
+        for _ in range(r.randrange(2, 9)):
+            words[r.randrange(len(words))] = f"new{i}_{r.randrange(9999)}"
+        texts.append(words)
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    data = [(d, " ".join(w)) for d, w in zip(order, texts)]
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.classes(docs(data)).collect()}
+    assert got == brute.near_classes(data)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 40)] + [(5, 5), (60, 59), (59, 61)]
     got = dict(rows(components(spark.createDataFrame(links, "a long, b long"))))
