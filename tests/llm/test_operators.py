@@ -77,6 +77,18 @@ def test_pii_terms_that_disclose(docs):
     assert pii.sanitise(docs([(1, "x")]).where("false")).count() == 0
 
 
+def test_pii_terms_far_from_the_entity(docs):
+    fill = "so it was said at noon by all of them here and there " * 3
+    ads = [f"quibbert wrote. {w} {fill} mail zz@mail.com {fill} thus quibbert" for w in ("alpha", "beta", "gamma")]
+    other = [(i, f"mail thus wrote {fill} number {i}") for i in range(10, 60)]
+    found = {r["doc_id"]: r for r in pii.find(docs(list(enumerate(ads)) + other)).collect()}
+    for i, text in enumerate(ads):
+        marks = [tuple(x) for x in found[i]["added"]]
+        assert [(k, text[s:e]) for k, s, e in marks] == [("remove", "quibbert")] * 2
+        assert min(abs(s - text.index("zz@")) for _, s, _ in marks) > 64
+    assert not any(found[i]["added"] for i, _ in other)
+
+
 def test_packing_round_trip(docs):
     texts = ["", None, "Hello, World's  end!\x01 x", LONG, "<|endoftext|> a\u0301 ΑΣ İ 12", "b " * 4095, "b " * 4096]
     data = list(enumerate(texts)) + [(3, LONG), (None, "hi")] + [(100 + i, "tok " * (i % 90)) for i in range(400)]

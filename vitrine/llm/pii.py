@@ -1,11 +1,12 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms around it.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards (Luhn) and phone numbers. The
-protected entities are their values. For each word near an entity the corpus tells how much of the
-entity's information it discloses: pointwise mutual information over the documents, divided by the
+protected entities are their values. For each word of a document with an entity the corpus tells how much
+of the entity's information it discloses: pointwise mutual information over whole documents, divided by the
 entity's own information content. Terms that reach ``generalise_at`` are replaced by their
-kind of word, terms that reach ``remove_at`` are removed. A pair counts only if it stands in at least
-``min_contexts`` different contexts, so copies of one text are no evidence.
+kind of word, terms that reach ``remove_at`` are removed, wherever they stand in the documents of the entity.
+A pair counts only if it stands in at least ``min_contexts`` different contexts, so copies of one text are
+no evidence.
 
 Everything is SQL functions and joins. A null text is empty and has no spans. Rows are matched by
 id and text, so null ids, repeated ids and repeated rows each get their own right result; other columns
@@ -71,68 +72,79 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def _occurrences(docs: DataFrame, window: int) -> DataFrame:
-    """``(doc_id, tk, c, ctx, t, s, e)``: each word near a base span, with its place."""
-    near = docs.where(F.size("_spans") > 0).select(
-        "doc_id", "tk", "_text", "_spans", F.explode("_spans").alias("x")
-    )
+def _held(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, tk, c, ctx, l, r)``: each entity, its window and the print of what stands there; and
+    ``(doc_id, tk, t, s, e)``: each word of the documents that hold an entity, outside the base spans."""
+    held = docs.where(F.size("_spans") > 0).dropDuplicates(["doc_id", "tk"])
+    near = held.select("doc_id", "tk", "_text", F.explode("_spans").alias("x"))
     start, end = F.col("x.s").cast("int"), F.col("x.e").cast("int")
     left = F.greatest(start - window, F.lit(0))
     value = F.substring("_text", start + 1, end - start)
-    near = near.select(
+    around = F.xxhash64(F.substring("_text", left + 1, start - left), F.substring("_text", end + 1, F.lit(window)))
+    entities = near.select(
         "doc_id",
         "tk",
-        "_spans",
         F.concat_ws(":", "x.kind", F.when(F.col("x.kind").isin("card", "phone"), _digits(value)).otherwise(F.lower(value))).alias("c"),
-        left.alias("at_l"),
-        end.alias("at_r"),
-        F.substring("_text", left + 1, start - left).alias("before"),
-        F.substring("_text", end + 1, F.lit(window)).alias("after"),
+        around.alias("ctx"),
+        left.alias("l"),
+        (end + window).alias("r"),
     )
-
-    def words(c: str, at: str) -> Column:
-        return F.transform(
-            matches(F.col(c), WORD),
-            lambda w: F.struct(F.lower(w["m"]).alias("t"), (w["s"] + F.col(at)).alias("s"), (w["e"] + F.col(at)).alias("e")),
-        )
-
-    # A word cut by the window's outer edge is no word of the text.
-    before = F.filter(words("before", "at_l"), lambda w: (w["s"] > F.col("at_l")) | (F.col("at_l") == 0))
-    after = F.filter(words("after", "at_r"), lambda w: w["e"] < F.col("at_r") + window)
     free = F.filter(
-        F.concat(before, after),
+        matches(F.col("_text"), WORD),
         lambda w: ~F.exists("_spans", lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])),
     )
-    return near.select(
-        "doc_id", "tk", "c", F.xxhash64("before", "after").alias("ctx"), F.explode(free).alias("w")
-    ).select("doc_id", "tk", "c", "ctx", "w.t", "w.s", "w.e")
+    words = held.select("doc_id", "tk", F.explode(free).alias("w"))
+    return entities, words.select("doc_id", "tk", F.lower("w.m").alias("t"), "w.s", "w.e")
+
+
+def _in_one(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of one document side by side; its id may be null."""
+    right = right.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
+    same = (F.col("tk") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return left.join(right, same).drop("_id", "_tk")
 
 
 def disclosing_terms(
-    docs: DataFrame, occ: DataFrame, generalise_at: float, remove_at: float, min_contexts: int
-) -> DataFrame:
-    """``(c, t, share, action)`` of the terms that disclose an entity beyond the threshold.
+    docs: DataFrame, entities: DataFrame, words: DataFrame, generalise_at: float, remove_at: float, min_contexts: int
+) -> tuple[DataFrame, DataFrame]:
+    """``(c, t, action)`` of the terms that disclose an entity beyond the threshold, and the words that may.
 
-    ``share`` is PMI(c, t) / IC(c): 1 if the term never stands without the entity.
+    The share is PMI(c, t) / IC(c): 1 if the term never stands without the entity. Documents are counted
+    whole, wherever the term stands in them.
     """
-    pairs = occ.select("c", "t", "ctx").distinct().groupBy("c", "t").agg(F.count("*").alias("contexts"))
-    pairs = pairs.where(F.col("contexts") >= min_contexts)
-    both = occ.select("c", "t", "doc_id", "tk").distinct().groupBy("c", "t").agg(F.count("*").alias("n_ct"))
-    alone = occ.select("c", "doc_id", "tk").distinct().groupBy("c").agg(F.count("*").alias("n_c"))
-    wanted = materialize(pairs.join(both, ["c", "t"]).join(alone, "c"), "pii-pairs")
+    alone = entities.select("c", "doc_id", "tk").distinct().groupBy("c").agg(F.count("*").alias("n_c"))
+    alone = materialize(alone, "pii-entities")
     # Documents that hold each word, over the whole corpus: merged per task before the shuffle.
-    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))
-    in_docs = docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    distinct = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))
+    in_docs = docs.select(F.explode(distinct).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     total = docs.count()
-    terms = materialize(wanted.select("t").distinct().join(in_docs, "t"), "pii-terms")
+    # Exact bound: the share is largest where all documents of the entity hold the term, so a term
+    # in more documents than this discloses none. Common words are left out before they meet entities.
+    most = alone.agg(F.max("n_c")).first()[0] or 0
+    bound = float(total) ** (1 - generalise_at) * float(most) ** generalise_at * (1 + 1e-9)
+    rare = materialize(in_docs.where(F.col("n_t") <= bound), "pii-terms")
+    words = materialize(words.join(rare, "t"), "pii-words")
+    pairs = _in_one(
+        words.select("doc_id", "tk", "t", "n_t").distinct(),
+        entities.select("doc_id", "tk", "c").distinct(),
+    )
+    both = pairs.groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.max("n_t").alias("n_t"))
     ratio = F.col("n_ct") * float(total) / (F.col("n_c") * F.greatest("n_t", "n_ct"))
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_c"))
-    return (
-        wanted.join(terms, "t")
+    wanted = (
+        both.join(alone, "c")
         .withColumn("share", F.when(content > 0, F.log2(ratio) / content).otherwise(0.0))
         .where(F.col("share") >= generalise_at)
-        .select("c", "t", "share", F.when(F.col("share") >= remove_at, "remove").otherwise("general").alias("action"))
+        .select("c", "t", F.when(F.col("share") >= remove_at, "remove").otherwise("general").alias("action"))
     )
+    wanted = materialize(wanted, "pii-pairs")
+    # Within the window the context is what stands there, beyond it the text.
+    inside = (F.col("s") >= F.col("l")) & (F.col("e") <= F.col("r"))
+    here = _in_one(words.join(wanted.select("t").distinct(), "t", "left_semi"), entities)
+    here = here.join(wanted, ["c", "t"]).select("c", "t", F.when(inside, F.col("ctx")).otherwise(F.col("tk")).alias("ctx"))
+    contexts = here.distinct().groupBy("c", "t").agg(F.count("*").alias("contexts"))
+    enough = contexts.where(F.col("contexts") >= min_contexts).select("c", "t")
+    return materialize(wanted.join(enough, ["c", "t"], "left_semi"), "pii-disclosing"), words
 
 
 def find(
@@ -144,17 +156,21 @@ def find(
 ) -> DataFrame:
     """``(doc_id, tk, base, added)`` per row: base spans, and term spans whose kind is the action.
 
-    ``window`` is in code points to either side of an entity; ``tk`` is ``text_key`` of the text.
+    ``window``, in code points to either side of an entity, bounds the contexts that are told apart, not
+    the terms; ``tk`` is ``text_key`` of the text.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     texts = texts.withColumn("tk", text_key("_text"))
     spotted = with_spans(texts, "_text")
     base = materialize(spotted.select("doc_id", "tk", F.col("_spans").alias("base")), "pii-base")
-    occ = materialize(_occurrences(spotted, window), "pii-terms-near")
-    terms = disclosing_terms(texts, occ, generalise_at, remove_at, min_contexts)
+    entities, words = _held(spotted, window)
+    entities = materialize(entities, "pii-held")
+    terms, words = disclosing_terms(texts, entities, words, generalise_at, remove_at, min_contexts)
+    # Every occurrence of a term in a document that holds its entity.
+    marked = words.join(terms.withColumnRenamed("c", "_c"), "t")
+    marked = _in_one(marked, entities.select("doc_id", "tk", "c").distinct()).where("c = _c")
     added = (
-        occ.join(terms, ["c", "t"])
-        .groupBy("doc_id", "tk", "s", "e")
+        marked.groupBy("doc_id", "tk", "s", "e")
         .agg(F.max("action").alias("action"))
         .groupBy("doc_id", "tk")
         .agg(F.array_sort(F.collect_list(F.struct("s", "e", "action"))).alias("added"))
