@@ -323,6 +323,22 @@ def test_page_text(spark):
     assert html_text.main_text(long).count("word") == 20000
 
 
+def test_page_text_of_ordinary_markup():
+    body = "<p>" + "the article says a good many things " * 4 + "</p>"
+    text = " ".join(("the article says a good many things " * 4).split())
+    head = "<html><head><meta charset=utf-8><title>t</title><style>a{}</style>"
+    assert html_text.main_text(f"{head}<body><header>top</header><article>{body}</article></body></html>") == text
+    for raw in ("<svg/>", "<iframe src='x' />", '<iframe src="x"/>'):
+        assert html_text.main_text(f"{head}</head><body>{raw}<article>{body}</article></body></html>") == text
+    assert html_text.main_text(f"<body><script src=http://x/>no</script><article>{body}</article>") == text
+    assert html_text.main_text(f"<body><div class='overflow-hidden'><article>{body}</article></div>") == text
+    assert html_text.main_text(f"<body><div class='overflow-hidden'>{body}</div>") == text
+    assert html_text.main_text(f"<body><div class='with-sidebar'><article>{body}</article></div>") == text
+    for off in ("hidden", "style='display: none'", "aria-hidden=true"):
+        assert html_text.main_text(f"<body><div {off}><article>{body}</article></div>") == ""
+    assert html_text.main_text(f"<body><div class=comments><article class=comment>{body}</article></div>") == ""
+
+
 def test_page_tree_on_a_grid():
     r, tree = random.Random(1), html_text._tree()
     for _ in range(3000):

@@ -6,7 +6,8 @@ class, id or role), in the article's element, or is a heading. A decision tree,
 the small labelled table below, says which blocks are main text.
 
 A null html is empty and gives an empty text. Broken markup is read as browsers do: an open
-comment, script or tag runs to the end, missing end tags are implied. Pages are judged one by
+comment, script or tag runs to the end, missing end tags are implied; only raw elements written as
+self-closing (``<iframe/>``) are empty, as XHTML pages mean them. Pages are judged one by
 one, so repeated rows and ids give repeated results; an empty table gives no rows; columns other than
 ``page_id``, ``url`` and ``html`` are ignored.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg math iframe object textarea select title head".split()
+RAW = "script style noscript template svg math iframe object textarea select title".split()
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
@@ -45,20 +46,33 @@ CONTENT_HINTS = frozenset("article content post entry story articlebody maincont
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)"
+    r"|<(?:" + "|".join(RAW) + r")(?:/|(?=\s)(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'])/)>"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_PAIR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+def _hidden(attrs: str) -> bool:
+    """Do the attributes themselves, not words of their values, hide the element?"""
+    for name, value in _PAIR.findall(attrs):
+        name, value = name.lower(), value.strip("\"'").strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true":
+            return True
+        if name == "style" and _NONE.search(value):
+            return True
+    return False
+
+
 @lru_cache(maxsize=65536)
-def _hints(attrs: str) -> tuple[bool, bool]:
-    """Do class, id or role name page furniture, or content?"""
+def _hints(attrs: str) -> tuple[bool, bool, bool]:
+    """Do class, id or role name page furniture, or content? Is the element hidden?"""
     parts = {p.lower() for v in _ATTR.findall(attrs) for p in _PART.findall(v)}
-    return bool(parts & HINTS) or bool(_HIDDEN.search(attrs)), bool(parts & CONTENT_HINTS)
+    return bool(parts & HINTS), bool(parts & CONTENT_HINTS), _hidden(attrs)
 
 
 class Block:
@@ -72,8 +86,8 @@ class Block:
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    # Open elements: (name, in furniture, in article, in link, in heading)
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    # Open elements: (name, in furniture, in article, in link, in heading, in furniture not by hints alone)
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
     text: list[tuple[str, bool]] = []
     where = stack[0]
 
@@ -103,6 +117,10 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             text.append((" ", False))
             continue
+        if name == "head":
+            # Its end may be left out; what it may hold is raw or void, other text belongs to the body.
+            flush()
+            continue
         if name in BLOCK:
             flush()
         if m["close"]:
@@ -124,12 +142,16 @@ def blocks_of(page: str) -> list[Block]:
                     break
         attrs = m["attrs"]
         up = stack[-1]
-        bad, good = _hints(attrs) if "=" in attrs or attrs.strip() else (False, False)
+        bad, good, hidden = _hints(attrs) if "=" in attrs or attrs.strip() else (False, False, False)
+        # An article that is not called furniture itself is none for the names of what holds it.
+        inherited = up[5] if name in CONTENT and not bad and not hidden else up[1]
         if name in ("html", "body") or name in CONTENT or name in HEADINGS:
-            bad = False
+            bad = hidden = False
         # A header inside an article that is not furniture itself holds the article's title.
-        furniture = up[1] or name in CHROME or (bad and name != "header") or (name == "header" and not up[2])
-        stack.append((name, furniture, up[2] or name in CONTENT or (good and not bad and name != "body"), up[3] or name == "a", up[4] or name in HEADINGS))
+        firm = up[5] or name in CHROME or (hidden and name != "header") or (name == "header" and not up[2])
+        furniture = inherited or firm or (bad and name != "header")
+        good = good and not (bad or hidden) and name != "body"
+        stack.append((name, furniture, up[2] or name in CONTENT or good, up[3] or name == "a", up[4] or name in HEADINGS, firm))
         if attrs.endswith("/") and name not in BLOCK:
             stack.pop()
     if at < len(page):
