@@ -197,6 +197,14 @@ def test_repeats_against_brute_force(docs, hot):
     assert repeats.dedup(docs(data).where("false")).count() == 0
 
 
+def test_repeats_of_an_id_with_other_texts(docs):
+    passage = " ".join(f"p{i}" for i in range(20))
+    own = " ".join(f"o{i}" for i in range(30))
+    data = [(1, passage), (2, f"{own} {passage}"), (2, "short"), (2, own + " end"), (3, own + " x"), (3, passage)]
+    got = sorted(rows(repeats.digest(repeats.dedup(docs(data)))), key=str)
+    assert got == sorted(brute.repeats(data), key=str)
+
+
 @given(
     st.lists(st.integers(0, 4), max_size=40),
     st.lists(st.integers(0, 4), max_size=40),

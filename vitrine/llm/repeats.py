@@ -16,7 +16,8 @@ starts in a document with a smaller id. Windows are judged on the input.
 Documents with the same text are one document with the smallest id in steps 1 to 3; all words of the
 others go, if they have a window. Words are runs of bytes other than space, tab, line feed, vertical tab,
 form feed and carriage return. Null texts have no words. Rows with a null id have no smaller id and are
-nobody's smaller id: they keep all words. Rows that repeat an id do not count as smaller than each other.
+nobody's smaller id: they keep all words. Rows that repeat an id do not count as smaller than each other; each text has
+its own marks.
 Empty tables give no rows; columns other than id and text are ignored.
 """
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import U64, gram_hashes, small, word_hashes
+from vitrine.llm.common import U64, gram_hashes, small, text_key, word_hashes
 from vitrine.session import materialize
 
 RUN = 5
@@ -53,7 +54,7 @@ def window_seeds(words: list[bytes], width: int, run: int = RUN) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, fp, n, seeds)`` per row: print of the text, words, distinct seeds."""
+    """``(doc_id, fp, n, seeds, tk)`` per row: print of the words, their number, distinct seeds, key of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,23 +67,23 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                     counts.append(len(words))
                     seeds.append(np.unique(window_seeds(words, width)))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(seeds, pa.list_(pa.int64()))],
-                    names=["doc_id", "fp", "n", "seeds"],
+                    [some.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(seeds, pa.list_(pa.int64())), some.column(2)],
+                    names=["doc_id", "fp", "n", "seeds", "tk"],
                 )
 
-    cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return cols.mapInArrow(run, "doc_id long, fp binary, n long, seeds array<long>")
+    cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), text_key(F.col("text").cast("binary")).alias("tk"))
+    return cols.mapInArrow(run, "doc_id long, fp binary, n long, seeds array<long>, tk long")
 
 
 def _regions(width: int):
-    """Texts with their recurring seeds to regions: ``(seed, doc_id, at, words, text)``."""
+    """Texts with their recurring seeds to regions: ``(seed, doc_id, at, windows, words, tk)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
                 rows: list[tuple] = []
-                for doc, text, seeds in zip(*(some.column(i).to_pylist() for i in range(3))):
+                for doc, text, seeds, tk in zip(*(some.column(i).to_pylist() for i in range(4))):
                     words = (text or b"").split()
                     s = window_seeds(words, width)
                     if not len(s):
@@ -91,11 +92,11 @@ def _regions(width: int):
                     ends = np.append(edges[1:], len(s))
                     wanted = np.isin(s[edges], np.array(seeds, np.int64))
                     for a, z in zip(edges[wanted].tolist(), ends[wanted].tolist()):
-                        rows.append((int(s[a]), doc, a, z - a, b" ".join(words[a : z + width - 1])))
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                kinds = [pa.int64()] * 4 + [pa.binary()]
+                        rows.append((int(s[a]), doc, a, z - a, b" ".join(words[a : z + width - 1]), tk))
+                cols = list(zip(*rows)) if rows else [[]] * 6
+                kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["seed", "doc_id", "at", "windows", "words"]
+                    [pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["seed", "doc_id", "at", "windows", "words", "tk"]
                 )
 
     return run
@@ -109,11 +110,11 @@ def _cut(width: int):
             for low in range(0, batch.num_rows, 1024):
                 some = batch.slice(low, 1024)
                 rows = []
-                for seed, doc, at, n, text in zip(*(some.column(i).to_pylist() for i in range(5))):
+                for seed, doc, at, n, text, tk in zip(*(some.column(i).to_pylist() for i in range(6))):
                     words = text.split()
-                    rows += [(seed, doc, at + i, 1, b" ".join(words[i : i + width])) for i in range(n)]
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                kinds = [pa.int64()] * 4 + [pa.binary()]
+                    rows += [(seed, doc, at + i, 1, b" ".join(words[i : i + width]), tk) for i in range(n)]
+                cols = list(zip(*rows)) if rows else [[]] * 6
+                kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], schema=batch.schema)
 
     return run
@@ -159,7 +160,7 @@ def _locate(width: int):
 
 
 def occurrences(docs: DataFrame, width: int = 13, shard_regions: int = 20_000, hot: int = 2_000) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, fp, starts)``: the windows of each text that start in a smaller id too; and profiles."""
+    """``(doc_id, tk, starts)``: the windows of each text that start in a smaller id too; and ``(doc_id, tk, rep)``."""
     prof = materialize(profiles(docs, width), "repeat-profiles")
     same = prof.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     same = materialize(same, "repeat-prints")
@@ -172,10 +173,11 @@ def occurrences(docs: DataFrame, width: int = 13, shard_regions: int = 20_000, h
         seeds.join(recurring.select("seed"), "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    kinds = "seed long, doc_id long, at long, windows long, words binary"
+    texts = texts.withColumn("tk", text_key("text"))
+    kinds = "seed long, doc_id long, at long, windows long, words binary, tk long"
     wanted = materialize(wanted, "repeat-wanted")
     texts = texts.join(small(materialize(wanted.select("doc_id"), "repeat-ids")), "doc_id", "left_semi")
-    regions = texts.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_regions(width), kinds)
+    regions = texts.join(wanted, "doc_id").select("doc_id", "text", "seeds", "tk").mapInArrow(_regions(width), kinds)
     regions = materialize(regions.withColumn("print", F.xxhash64("words")), "regions")
 
     # Distinct regions of a seed; many of one seed are cut into windows.
@@ -184,7 +186,7 @@ def occurrences(docs: DataFrame, width: int = 13, shard_regions: int = 20_000, h
     crowded = materialize(kinds_of.where(F.col("count") > hot).select("seed"), "hot-seeds")
     # Regions that stand alone under their seed cannot recur; they need no shard.
     calm = regions.join(crowded, "seed", "left_anti")
-    single = regions.join(crowded, "seed", "left_semi").select("seed", "doc_id", "at", "windows", "words")
+    single = regions.join(crowded, "seed", "left_semi").select("seed", "doc_id", "at", "windows", "words", "tk")
     single = single.mapInArrow(_cut(width), kinds).withColumn("print", F.xxhash64("words"))
     single = materialize(single, "hot-windows")
     calm_rows, hot_rows = distinct(calm), distinct(single)
@@ -200,29 +202,31 @@ def occurrences(docs: DataFrame, width: int = 13, shard_regions: int = 20_000, h
     for source, rows, key, shards in ((calm, calm_rows, ["seed"], n), (single, hot_rows, ["seed", "words"], m)):
         hits = located(rows, key, shards)
         part = (
-            source.select("seed", "print", "doc_id", "at")
+            source.select("seed", "print", "doc_id", "at", "tk")
             .join(hits, ["seed", "print"])
             .where("low < doc_id")
-            .select("doc_id", (F.col("at") + F.col("off")).alias("start"))
+            .select("doc_id", "tk", (F.col("at") + F.col("off")).alias("start"))
         )
         out = part if out is None else out.unionByName(part)
-    starts = out.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    return starts, prof.select("doc_id", "fp", "n").join(same, "fp", "left").select("doc_id", "fp", "rep")
+    starts = out.groupBy("doc_id", "tk").agg(F.collect_set("start").alias("starts"))
+    return starts, prof.select("doc_id", "fp", "tk").join(same, "fp", "left").select("doc_id", "tk", "rep")
 
 
 def dedup(docs: DataFrame, width: int = 13, **params) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` per row; ``kept`` is the words left, joined by one space."""
     starts, prints = occurrences(docs, width, **params)
     starts = materialize(starts, "repeat-starts")
-    copies = prints.where("rep < doc_id").select("doc_id").distinct().withColumn("copy", F.lit(True))
-    marks = starts.join(copies, "doc_id", "full_outer").select(F.col("doc_id").alias("_id"), "starts", "copy")
+    copies = prints.where("rep < doc_id").select("doc_id", "tk").distinct().withColumn("copy", F.lit(True))
+    marks = starts.join(copies, ["doc_id", "tk"], "full_outer")
+    marks = marks.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "starts", "copy")
     marks = materialize(marks, "repeat-marks")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     # Documents without a mark need no join with the marks.
     marked = small(materialize(marks.select("_id"), "repeat-marked"))
     same = F.col("doc_id") == F.col("_id")
     plain = rows.join(marked, same, "left_anti").withColumns({"starts": F.lit(None).cast("array<long>"), "copy": F.lit(None).cast("boolean")})
-    hit = rows.join(marked, same, "left_semi").join(marks, same)
+    # An id may repeat with another text, which has marks of its own or none.
+    hit = rows.join(marked, same, "left_semi").join(marks, same & (text_key("text") == F.col("_tk")), "left")
     rows = plain.unionByName(hit.select("doc_id", "text", "starts", "copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
