@@ -163,6 +163,23 @@ def test_licenses_against_all_lines(docs):
     assert licenses.scan(docs(data).where("false")).count() == 0
 
 
+def test_licenses_by_telling_tokens_and_across_lines(docs):
+    fill = " ".join(f"x{i}" for i in range(70))
+    texts = {
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "licensed under CC BY 4.0": "cc-by",
+        "Released under the GPL license": "",
+        f"{fill}\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted\n{fill}": "bsd",
+        "# Subject to the terms of the Mozilla\n# Public License, v. 2.0.": "mpl",
+        "Licensed under the Apache License,\nVersion 2.0\n" + fill: "apache-2.0",
+        # the words of a notice, but not together
+        f"subject to the terms of\n{' '.join(fill.split()[:20])}\nthe mozilla public license v 2.0": "",
+    }
+    found = licenses.scan(docs(list(enumerate(texts))), telling=licenses.TELLING, wrapped=True)
+    got = {r["doc_id"]: r["labels"] for r in found.collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_quality_separates_and_keeps_clean(spark, docs):
     r = random.Random(2)
     words = ["the", "river", "carried", "small", "boats", "along", "quiet", "banks", "of", "meadow", "toward", "sea"]

@@ -1,6 +1,8 @@
 """License phrases and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Template tokens are ordered by their frequency in the whole corpus, rarest first.
+A block is a line; with ``wrapped`` also each stretch of words across lines that is not longer than the
+template allows (its words divided by ``at``), found in overlapping windows. With ``telling`` a block must hold all
+of a template's telling tokens, those that alone tell it from another license. Template tokens are ordered by their frequency in the whole corpus, rarest first.
 A block meets a template if it holds at least ``at`` of the template's distinct tokens. For that it must
 hold one of the template's first ``|T| - needed + 1`` tokens (prefix filter), at least ``needed``
 template tokens at all (length filter), and from the first shared token on enough tokens must be
@@ -41,6 +43,8 @@ TEMPLATES = (
     ("mpl", "subject to the terms of the mozilla public license v 2.0"),
     ("reserved", "all rights reserved"),
 )
+#: Tokens without which a notice is of another license.
+TELLING = frozenset("mit apache gnu nc sa cc0 mozilla".split())
 
 
 def words(lowered: Column) -> Column:
@@ -99,8 +103,10 @@ def _tokens(text: str) -> list[str]:
     return sorted(set(text.replace(".", " ").split()))
 
 
-def template_blocks(docs: DataFrame, at: float = 0.8, templates=TEMPLATES) -> DataFrame:
-    """``(doc_id, tk, line, label, containment)`` of every line that meets a template."""
+def template_blocks(
+    docs: DataFrame, at: float = 0.8, templates=TEMPLATES, telling: frozenset = frozenset(), wrapped: bool = False
+) -> DataFrame:
+    """``(doc_id, tk, line, label, containment)`` of every block that meets a template; ``line`` is null across lines."""
     spark = docs.sparkSession
     sets = [(i, label, _tokens(text)) for i, (label, text) in enumerate(templates)]
     vocabulary = sorted({t for _, _, ts in sets for t in ts})
@@ -119,48 +125,78 @@ def template_blocks(docs: DataFrame, at: float = 0.8, templates=TEMPLATES) -> Da
         ts = sorted(ts, key=rank.get)
         needed = math.ceil(round(at * len(ts), 9))
         for pos, t in enumerate(ts[: len(ts) - needed + 1]):
-            prefixes.append((t, pos, i, label, ts, needed))
+            span = int(round(len(templates[i][1].replace(".", " ").split()) / at, 9))
+            prefixes.append((t, pos, i, label, ts, needed, [t for t in ts if t in telling], span))
             heads.add(t)
-    names = ("t", "i", "template", "label", "ts", "needed")
-    cell = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x)
+    names = ("t", "i", "template", "label", "ts", "needed", "tell", "span")
+    cell = lambda x: F.array(*map(F.lit, x)).cast("array<string>") if isinstance(x, list) else F.lit(x)
     structs = [F.struct(*[cell(x).alias(n) for n, x in zip(names, row)]) for row in prefixes]
     prefix = spark.range(1).select(F.inline(F.array(*structs)))
 
     # Lines without any prefix token cannot meet a template.
     edge = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
     head = f"(?:^|{edge})(?:{'|'.join(sorted(heads))})(?:{edge}|$)"
-    lines = rows.where(F.col("_low").rlike(head)).select(
+    noted = rows.where(F.col("_low").rlike(head))
+    lines = noted.select(
         "doc_id", "tk", F.posexplode(F.split("_low", "\n")).alias("line", "_line")
     )
     lines = lines.where(F.col("_line").rlike(head)).select(
         "doc_id", "tk", "line", F.array_distinct(F.filter(words(F.col("_line")), lambda t: t.isin(vocabulary))).alias("_b")
     )
+    lines = lines.withColumn("_w", F.lit(None).cast("array<string>"))
+    if wrapped:
+        # Windows of two spans, one span apart: every stretch of up to a span lies in one of them.
+        step = max((x[-1] for x in prefixes), default=1)
+        cut = noted.where(F.col("_low").contains("\n")).select("doc_id", "tk", F.explode(F.array(words(F.col("_low")))).alias("_all"))
+        cut = cut.select(
+            "doc_id",
+            "tk",
+            F.explode(
+                F.transform(
+                    F.sequence(F.lit(0), F.floor(F.size("_all") / step).cast("int")),
+                    lambda i: F.slice("_all", i * step + 1, F.lit(2 * step)),
+                )
+            ).alias("_w"),
+        ).where(F.arrays_overlap("_w", F.array(*map(F.lit, sorted(heads)))))
+        known = F.array_distinct(F.filter("_w", lambda t: t.isin(vocabulary)))
+        lines = lines.unionByName(cut.select("doc_id", "tk", F.lit(None).cast("int").alias("line"), known.alias("_b"), "_w"))
     ranks = F.create_map(*[F.lit(x) for t in order for x in (t, rank[t])])
     ordered = F.array_sort(F.transform("_b", lambda t: F.struct(F.element_at(ranks, t).alias("r"), t.alias("t"))))
-    tokens = lines.select("doc_id", "tk", "line", "_b", F.posexplode(ordered).alias("j", "_t"))
+    tokens = lines.select("doc_id", "tk", "line", "_b", "_w", F.posexplode(ordered).alias("j", "_t"))
     left_t, left_b = F.size("ts") - F.col("i"), F.size("_b") - F.col("j")
     pairs = (
         tokens.withColumn("t", F.col("_t.t"))
         .join(F.broadcast(prefix), "t")  # as long as the fixed template table
         .where((F.size("_b") >= F.col("needed")) & (F.least(left_t, left_b) >= F.col("needed")))
     )
-    shared = F.size(F.array_intersect("_b", "ts"))
+
+    def holds(block) -> Column:
+        return (F.size(F.array_intersect(block, "ts")) >= F.col("needed")) & (F.size(F.array_except("tell", block)) == 0)
+
+    # Across lines the words must stand together; containment is that of the best stretch.
+    stretches = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1))), lambda i: F.slice("_w", i, F.col("span")))
+    best = F.array_max(F.transform(F.filter(stretches, holds), lambda x: F.size(F.array_intersect(x, "ts"))))
+    shared = F.when(F.col("_w").isNull(), F.size(F.array_intersect("_b", "ts"))).otherwise(best)
     return (
-        pairs.where(shared >= F.col("needed"))
-        .select("doc_id", "tk", "line", "template", "label", (shared / F.size("ts")).alias("containment"))
+        pairs.where(holds(F.col("_b")))
+        .withColumn("shared", shared)
+        .where("shared is not null")
+        .select("doc_id", "tk", "line", "template", "label", (F.col("shared") / F.size("ts")).alias("containment"))
         .groupBy("doc_id", "tk", "line", "label")
         .agg(F.max("containment").alias("containment"))
     )
 
 
-def scan(docs: DataFrame, at: float = 0.8, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
+def scan(
+    docs: DataFrame, at: float = 0.8, templates=TEMPLATES, phrases=PHRASES, telling: frozenset = frozenset(), wrapped: bool = False
+) -> DataFrame:
     """Per row: base phrase counts, base labels, all labels and the best containment.
 
     ``score`` is the largest containment of a matched template, 1 where a base phrase stands.
     """
     base = base_phrases(docs, phrases)
     met = (
-        template_blocks(docs, at, templates)
+        template_blocks(docs, at, templates, telling, wrapped)
         .groupBy("doc_id", "tk")
         .agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
         .withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})

@@ -80,7 +80,7 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op5_licenses")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
-    return licenses.scan(table(spark, sf, "documents"))
+    return licenses.scan(table(spark, sf, "documents"), telling=licenses.TELLING, wrapped=True)
 
 
 @query("op6_quality")
