@@ -36,10 +36,12 @@ def matches(text: Column, pattern: str) -> Column:
     sums of their lengths are the positions. A text without a match gives an empty array.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.transform(
-        found, lambda m, i: F.struct(F.length(F.get(gaps, i)).cast("long").alias("g"), m.alias("m"))
+    # Both lists are arguments, not looked up inside the lambda, so each is made once a text. There is
+    # one gap more than matches; its pair has no match and goes.
+    both = F.zip_with(
+        F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), m.alias("m"))
     )
+    pairs = F.filter(both, lambda x: x["m"].isNotNull())
     empty = F.expr("cast(array() as array<struct<s:bigint,e:bigint,m:string>>)")
 
     def step(acc, x):

@@ -72,10 +72,12 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def _held(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+def _held(held: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, tk, c, ctx, l, r)``: each entity, its window and the print of what stands there; and
     ``(doc_id, tk, t, s, e)``: each word of the documents that hold an entity, outside the base spans."""
-    held = docs.where(F.size("_spans") > 0).dropDuplicates(["doc_id", "tk"])
+    # A fixed number of partitions: the texts are few and long, so that merging small ones leaves a few slow tasks.
+    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = held.repartition(n, "doc_id", "tk").dropDuplicates(["doc_id", "tk"])
     near = held.select("doc_id", "tk", "_text", F.explode("_spans").alias("x"))
     start, end = F.col("x.s").cast("int"), F.col("x.e").cast("int")
     left = F.greatest(start - window, F.lit(0))
@@ -161,9 +163,11 @@ def find(
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     texts = texts.withColumn("tk", text_key("_text"))
-    spotted = with_spans(texts, "_text")
-    base = materialize(spotted.select("doc_id", "tk", F.col("_spans").alias("base")), "pii-base")
-    entities, words = _held(spotted, window)
+    # The spans are found once; only the texts that hold some are written beside them.
+    held = F.when(F.size("_spans") > 0, F.col("_text")).alias("_text")
+    spotted = materialize(with_spans(texts, "_text").select("doc_id", "tk", "_spans", held), "pii-base")
+    base = spotted.select("doc_id", "tk", F.col("_spans").alias("base"))
+    entities, words = _held(spotted.where("_text is not null"), window)
     entities = materialize(entities, "pii-held")
     terms, words = disclosing_terms(texts, entities, words, generalise_at, remove_at, min_contexts)
     # Every occurrence of a term in a document that holds its entity.
