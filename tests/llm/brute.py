@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 KINDS = {
@@ -126,3 +127,40 @@ def url(u: str | None, rules) -> tuple[str, str, str | None, str | None]:
     fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
     best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
     return host, path, best and best[1] + best[2], best and best[0]
+
+
+def runs(words: list, exponent: int, least: int) -> list[tuple[int, int, int]]:
+    """(start, length, smallest period) of every maximal run, by comparing all pairs of words."""
+    n, best = len(words), {}
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if length >= max(least, exponent * q):
+                best.setdefault((i, length), q)
+            i = j + 1
+    return sorted((s, length, q) for (s, length), q in best.items())
+
+
+def collapsed(words: list[str], found: list[tuple[int, int, int]]) -> str:
+    out = {i for s, length, q in found for i in range(s + q, s + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in out)
+
+
+def hard_negatives(rows, anchors, positives: int, negatives: int, low: int, high: int, scale: int):
+    """rows: id to (label, vector of floats) of those that take part."""
+    whole = {i: (label, [math.floor(scale * x) for x in v]) for i, (label, v) in rows.items()}
+    out = []
+    for a in (i for i in whole if anchors(i)):
+        label, vec = whole[a]
+        scored = sorted((-sum(x * y for x, y in zip(vec, v)), i, other == label) for i, (other, v) in whole.items() if i != a and len(v) == len(vec))
+        for s, pos in [(-s, i) for s, i, same in scored if same][:positives]:
+            fit = [(-t, i) for t, i, same in scored if not same and low * s <= -100 * t <= high * s]
+            out += [(a, pos, n + 1, i, s, t) for n, (t, i) in enumerate(fit[:negatives])]
+    return sorted(out)

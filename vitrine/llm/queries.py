@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from vitrine.llm import (
     decontaminate,
+    hard_negatives,
     html_text,
     licenses,
     near_copies,
     packing,
+    periodic,
     pii,
     quality,
     repeats,
+    sharding,
     topk,
     url_tree,
 )
@@ -130,3 +133,115 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_url_filter")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return url_tree.verdicts(table(spark, sf, "pages"))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, half a byte at a time, low half first."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    halves = f"regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g')"
+    digits = f"list_transform(list_filter(string_split({halves}, ''), lambda c: c <> ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT))"
+    step = f"xor(s >> 4, ([{', '.join(map(str, table))}]::BIGINT[])[1 + (xor(s, x) & 15)])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda s, x: {step}), 4294967295::BIGINT)"
+
+
+SHARDS_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32
+  FROM documents
+), p AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM d
+), s AS (
+  SELECT *, CAST((2 * upto - size) * 8 // (2 * total) AS INTEGER) AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
+
+
+@query("op11_sharding", SHARDS_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign(table(spark, sf, "documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+  AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 3
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    label = F.when(rows["vec_id"] % 7 == 0, (rows["label"] + 1) % 10).otherwise(rows["label"])
+    vectors = hard_negatives.labelled_vectors(rows, label, scale=256)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+PERIODIC_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h
+  FROM documents
+), n AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM d
+), a AS (
+  SELECT *, g % nullif(n, 0) AS a, 1 + (n - g % nullif(n, 0)) // (3 + g % 8) AS p FROM n
+), i AS (
+  SELECT doc_id, n, h, w, a, p, unnest(range(n)) AS i FROM a
+), t AS (
+  SELECT doc_id, n, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM i
+), e AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word
+  WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), o AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e
+), m AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM o GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)
+), r AS (
+  SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY doc_id, start, length
+), b AS (
+  SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS n_runs, start, length, period,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) OVER (
+      PARTITION BY doc_id ORDER BY start, period ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lines
+  FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1
+), x AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN x USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
+  CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op13_periodic_runs", PERIODIC_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.find(table(spark, sf, "documents"), exponent=4, least=6, prepare=periodic.plant)
+    return periodic.digest(found)
