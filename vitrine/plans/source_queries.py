@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.operators.features import transaction_features
 from vitrine.plans.feature_queries import ROLLED, splits
 from vitrine.plans.oracle import between, sql
 from vitrine.plans.registry import day, money, money_sql, query
 from vitrine.session import run_dir
 from vitrine.sources import io, schemas
 from vitrine.sources import testdata as T
-from vitrine.streaming.refresh import latest_features, refresh_stream
+from vitrine.streaming.refresh import refresh_stream
 
 _TX = ["t_dat", "customer_id", "article_id", "price", "sales_channel_id"]
 
@@ -99,17 +98,34 @@ def staged_split(spark, sf):
     )
 
 
-@query("refresh_stream", sql("activity", ROLLED))
-def refresh_features(spark, sf):
-    """Features after streaming all transactions in equal the batch result."""
-    source, sink = run_dir(spark, "arrivals"), run_dir(spark, "refreshed")
-    activity = T.activity(spark, sf)
-    # four arrivals by day; every customer is touched by several of them
-    activity.repartitionByRange(4, "t_dat").write.parquet(source)
-    refresh_stream(spark, source, lambda: T.activity(spark, sf), sink, run_dir(spark, "offsets"))
-    out = latest_features(spark, sink)
+def _streamed(spark, sf):
+    """The store after four arrivals by day; every customer is touched by several of them."""
+    source = run_dir(spark, "arrivals")
+    T.activity(spark, sf).repartitionByRange(4, "t_dat").write.parquet(source)
+    return refresh_stream(spark, source, None, run_dir(spark, "refreshed"), run_dir(spark, "offsets"), buckets=16)
+
+
+def _refreshed(rows):
     types = {c: "float" if "spend" in c else "int" for c in schemas.ROLLING_FEATURES}
     cells = [
         (money(c) if "spend" in c else F.col(c)).cast(t).alias(c) for c, t in types.items()
     ]
-    return out.select("txn_id", *cells)
+    return rows.select("txn_id", *cells)
+
+
+@query("refresh_stream", sql("activity", ROLLED))
+def refresh_features(spark, sf):
+    """Features after streaming all transactions in equal the batch result."""
+    return _refreshed(_streamed(spark, sf).current())
+
+
+@query(
+    "feature_lookup",
+    sql("activity", f"""SELECT * FROM ({ROLLED}) WHERE txn_id IN (SELECT txn_id FROM activity WHERE customer_id IN (
+  SELECT customer_id FROM activity WHERE t_dat = (SELECT max(t_dat) FROM activity)))"""),
+)
+def feature_lookup(spark, sf):
+    """Features of the customers who were active on the last day, from their buckets of the streamed store."""
+    activity = T.activity(spark, sf)
+    last = activity.agg(F.max("t_dat")).scalar()
+    return _refreshed(_streamed(spark, sf).lookup(activity.where(F.col("t_dat") == last).select("customer_id").distinct()))

@@ -6,47 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.operators.features import keep_keys, transaction_features
+from vitrine.streaming.feature_store import BACKFILL, FeatureStore
+
+BUCKETS = 64
 
 
 def refresh_stream(
     spark: SparkSession,
     source: str,
-    history: Callable[[], DataFrame],
+    history: Callable[[], DataFrame] | None,
     sink: str,
     checkpoint: str,
     files_per_batch: int = 1,
-) -> None:
+    buckets: int = BUCKETS,
+) -> FeatureStore:
     """Run all waiting files of ``source`` through and stop.
 
-    Each micro-batch names the touched customers; their full history is recomputed and
-    written as one folder per batch. Late rows need no watermark, because nothing is kept
-    between batches, and a repeated batch overwrites its own folder, so the sink is
-    exactly-once.
+    ``history`` fills the store before its first batch; later runs do not read it again. Each
+    micro-batch reads and replaces the buckets of the customers it names, nothing else. Late rows need
+    no watermark, because a named customer is recomputed whole. Sink and checkpoint commit
+    by batch number, so a repeated batch changes nothing.
     """
+    store = FeatureStore(spark, sink, buckets)
     schema = spark.read.parquet(source).schema
+    if history is not None:
+        store.apply(history().select(schema.names), BACKFILL)
     arriving = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     )
-
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("customer_id").distinct()
-        fresh = transaction_features(keep_keys(history(), touched, "customer_id"))
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
     query = (
-        arriving.writeStream.foreachBatch(refresh)
+        arriving.writeStream.foreachBatch(store.apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    return store
 
 
-def latest_features(spark: SparkSession, sink: str) -> DataFrame:
-    """Current features: for each customer the rows of the last batch that touched it."""
-    from pyspark.sql import functions as F
-
-    rows = spark.read.parquet(sink)
-    newest = rows.groupBy("customer_id").agg(F.max("batch").alias("batch"))
-    return keep_keys(rows, newest, ["customer_id", "batch"]).drop("batch")
+def latest_features(spark: SparkSession, sink: str, buckets: int = BUCKETS) -> DataFrame:
+    """Current features: every transaction once."""
+    return FeatureStore(spark, sink, buckets).current()
