@@ -53,6 +53,25 @@ def test_stage_depends_on_parameters(spark):
     assert built == [3, 5, 4]
 
 
+def test_stage_depends_on_its_input_files(spark):
+    base, source, built = run_dir(spark, "stages"), run_dir(spark, "in"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source)
+
+    def stage():
+        return io.stage(spark, "s", build, base, {"n": 3}, inputs=[source]).count()
+
+    spark.range(3).write.parquet(source)
+    assert (stage(), stage(), len(built)) == (3, 3, 1)
+    spark.range(4).write.mode("append").parquet(source)
+    assert (stage(), stage(), len(built)) == (7, 7, 2)
+    # the older files are gone
+    spark.range(10, 15).repartition(1).write.mode("overwrite").parquet(source)
+    assert (stage(), len(built)) == (5, 3)
+
+
 def test_embeddings_pack_and_coverage(spark):
     wide = spark.createDataFrame([("1", 0.5, 1.0)], "article_id string, e_0 double, e_1 double")
     emb = io.pack_embeddings(wide, "e_", 2)

@@ -1,6 +1,7 @@
 """The plans the operators are meant to have."""
 
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from vitrine.operators import analytics as A
 from vitrine.operators import features as E
 from vitrine.operators.clean import split_by_date
 from vitrine.plans import QUERIES
-from vitrine.session import materialize
+from vitrine.session import materialize, run_dir
+from vitrine.sources import io
 from vitrine.sources import testdata as T
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +57,52 @@ def test_top_n_is_one_ordered_take(tx):
 def test_no_pairwise_joins(spark, name):
     text = plan(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def _bucketed(spark, tx, name, buckets=4, **params):
+    rows = tx([(f"c{i % 23}", f"a{i % 5}", i % 9, i) for i in range(200)])
+    return io.write_bucketed(rows, f"{name}_{uuid.uuid4().hex}", run_dir(spark, name), "customer_id", buckets, **params)
+
+
+def test_bucketed_tables_join_and_group_without_a_shuffle(spark, tx):
+    left, right = _bucketed(spark, tx, "left"), _bucketed(spark, tx, "right", files=3)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = left.join(right.select("customer_id", F.col("price").alias("p")), "customer_id")
+        counted = joined.groupBy("customer_id").agg(F.count("*").alias("n"), F.sum("p").alias("p"))
+        text = plan(counted)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        plain = tx([(f"c{i % 23}", f"a{i % 5}", i % 9, i) for i in range(200)])
+        pairs = plain.join(plain.select("customer_id", F.col("price").alias("p")), "customer_id")
+        want = pairs.groupBy("customer_id").agg(F.count("*").alias("n"), F.sum("p").alias("p"))
+        assert sorted(counted.collect()) == sorted(want.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_one_customer_is_one_bucket(spark, tx):
+    table = _bucketed(spark, tx, "lists", buckets=8)
+    found = table.where("customer_id = 'c7'")
+    assert "SelectedBucketsCount: 1 out of 8" in plan(found)
+    assert found.count() == 9
+
+
+def test_bucketed_table_opens_by_its_path(spark, tx):
+    path, by = run_dir(spark, "kept"), "customer_id"
+    rows = tx([(f"c{i % 7}", "a", 0, i) for i in range(50)])
+    first = f"t_{uuid.uuid4().hex}"
+    io.write_bucketed(rows, first, path, by, 4)
+    again = io.open_bucketed(spark, f"t_{uuid.uuid4().hex}", path, rows.schema, by, 4)
+    assert sorted(again.collect()) == sorted(rows.collect())
+    assert "SelectedBucketsCount: 1 out of 4" in plan(again.where("customer_id = 'c1'"))
+
+
+@needs_tables
+def test_the_bucketed_query_shuffles_nothing_after_its_tables(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "Exchange" not in plan(QUERIES["sink_bucketed"](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from vitrine.operators.features import recent_price_range
 from vitrine.plans.feature_queries import ROLLED, splits
 from vitrine.plans.oracle import between, sql
 from vitrine.plans.registry import day, money, money_sql, query
@@ -53,6 +56,32 @@ def sink_parquet(spark, sf):
     )
 
 
+def _bucketed(spark, sf, buckets=16):
+    """Recent price ranges and candidate lists as two tables bucketed by customer."""
+    name = lambda what: f"{what}_{uuid.uuid4().hex}"
+    ranges = recent_price_range(T.transactions(spark, sf))
+    lists = T.candidates(spark, sf)
+    return tuple(
+        io.write_bucketed(df, name(what), run_dir(spark, what), "customer_id", buckets)
+        for df, what in ((ranges, "ranges"), (lists, "lists"))
+    )
+
+
+@query(
+    "sink_bucketed",
+    sql("candidates price_range", """SELECT customer_id, count(*) AS n, min(rank) AS first, max(rank) AS last,
+ min(min_price) AS min_price, max(max_price) AS max_price
+FROM candidates JOIN price_range USING (customer_id) GROUP BY customer_id"""),
+)
+def sink_bucketed(spark, sf):
+    """Features met with lists, and lists counted, inside the buckets both tables share."""
+    ranges, lists = _bucketed(spark, sf)
+    return lists.join(ranges, "customer_id").groupBy("customer_id").agg(
+        F.count("*").alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last"),
+        F.min("min_price").alias("min_price"), F.max("max_price").alias("max_price"),
+    )
+
+
 @query("sink_json", sql("described", "SELECT article_id, detail_desc, CAST(article_id AS DOUBLE) / 8 AS similarity FROM described"))
 def sink_json(spark, sf):
     """Search-result records as JSON lines and back; a missing description stays missing."""
@@ -87,12 +116,13 @@ def staged_split(spark, sf):
     """A stage that is built once; the second call reads the finished copy."""
     base = run_dir(spark, "stages")
     params = {"train": T.TRAIN, "val": T.VALIDATION}
-    io.stage(spark, "train", lambda: splits(spark, sf)[0], base, params)
+    inputs = [f"{sf}/lineitem.parquet", f"{sf}/orders.parquet"]
+    io.stage(spark, "train", lambda: splits(spark, sf)[0], base, params, inputs=inputs)
 
     def never():
         raise AssertionError("a finished stage must not be built again")
 
-    train = io.stage(spark, "train", never, base, params)
+    train = io.stage(spark, "train", never, base, params, inputs=inputs)
     return train.groupBy("customer_id").agg(
         F.count("*").alias("n"), F.max("t_dat").cast("string").alias("last_day")
     )
@@ -129,3 +159,23 @@ def feature_lookup(spark, sf):
     activity = T.activity(spark, sf)
     last = activity.agg(F.max("t_dat")).scalar()
     return _refreshed(_streamed(spark, sf).lookup(activity.where(F.col("t_dat") == last).select("customer_id").distinct()))
+
+
+@query(
+    "packed_embeddings",
+    """SELECT CAST(vec_id AS VARCHAR) AS article_id, CAST(len(embedding) AS INTEGER) AS dim, embedding[1] AS first, embedding[64] AS last,
+ round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""",
+)
+def packed_embeddings(spark, sf):
+    """Vectors spread over one column a dimension, written, read and packed again."""
+    path = run_dir(spark, "wide")
+    wide = T.image_embeddings(spark, sf).select(
+        "article_id", *[F.col("embedding")[i].alias(f"e_{i}") for i in range(T.EMBEDDING_DIM)]
+    )
+    io.write_table(wide, path)
+    packed = io.pack_embeddings(io.read_table(spark, path), "e_", T.EMBEDDING_DIM)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return packed.select(
+        "article_id", F.size("embedding").alias("dim"), F.col("embedding")[0].alias("first"),
+        F.col("embedding")[T.EMBEDDING_DIM - 1].alias("last"), F.round(total, 6).alias("total"),
+    )
