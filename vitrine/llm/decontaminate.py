@@ -149,6 +149,13 @@ class Benchmark:
         return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that few texts are held as Python strings at once."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def _shards(benchmark: DataFrame, shortest: int, shard_chars: int) -> list:
     """Broadcasts of the benchmark's shards; each is measured to be small."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("t is not null")
@@ -173,7 +180,7 @@ def hits(
     for shard in _shards(benchmark, shortest, shard_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 rows = [
                     (doc, *hit)
                     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -196,7 +203,7 @@ def clean(
     for shard in _shards(benchmark, shortest, shard_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 keep = [not shard.value.hits(text, coverage) for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -42,22 +42,44 @@ MARK = b"\x01"
 class WordEncoder:
     """Token ids of texts, word by word, for a tokenizer that drops white space.
 
-    Such a tokenizer treats each word by itself, so every distinct word is encoded once. ``most``
-    words are remembered; beyond that the memory starts anew.
+    Such a tokenizer treats each word by itself, so every distinct word is encoded once. About
+    ``most_bytes`` of words are remembered; beyond that those met once since the last time go first, then the
+    rarest, until half is free.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    #: Bytes of a remembered word beside its letters and ids: dictionary entry, objects, places.
+    EACH = 200
+
+    def __init__(self, path: str, most_bytes: int = 64_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most_bytes = Tokenizer.from_file(path), most_bytes
         self.mark_ids = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.n, self.used = 0, 0
-        self.start, self.width = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
+        self.n, self.used, self.held = 0, 0, 0
+        self.start, self.width = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+
+    def compact(self) -> None:
+        """Forget the words that were met once, and of the others the rarest beyond half the bytes."""
+        words, n = list(self.place), self.n
+        size = np.fromiter(map(len, words), np.int64, n) + 4 * self.width[:n] + self.EACH
+        often = np.flatnonzero(self.hits[:n] > 1)
+        often = often[np.argsort(-self.hits[often], kind="stable")]
+        often = np.sort(often[np.cumsum(size[often]) <= self.most_bytes // 2])
+        width = self.width[often]
+        edges = np.concatenate([[0], np.cumsum(width)])
+        flat = self.flat[np.repeat(self.start[often] - edges[:-1], width) + np.arange(edges[-1])]
+        self.clear()
+        self.place = {words[i]: k for k, i in enumerate(often.tolist())}
+        self.n, self.used, self.held = len(often), len(flat), int(size[often].sum())
+        self.start, self.width = self._room(self.start, self.n), self._room(self.width, self.n)
+        self.hits, self.flat = self._room(self.hits, self.n), self._room(self.flat, self.used)
+        self.start[: self.n], self.width[: self.n], self.flat[: self.used] = edges[:-1], width, flat
 
     @staticmethod
     def _room(a: np.ndarray, need: int) -> np.ndarray:
@@ -77,7 +99,8 @@ class WordEncoder:
         if len(self.mark_ids) != 1 or MARK in b" ".join(words):
             return self._separate(words)
         text = f" {MARK.decode()} ".join([w.decode() for w in words])
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        # The fast form leaves out the places in the text.
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         marks = np.flatnonzero(ids == self.mark_ids[0])
         if len(marks) != len(words) - 1:
             return self._separate(words)
@@ -88,6 +111,8 @@ class WordEncoder:
         ids, counts = self._together(words)
         n, m = self.n + len(words), self.used + len(ids)
         self.start, self.width, self.flat = self._room(self.start, n), self._room(self.width, n), self._room(self.flat, m)
+        self.hits = self._room(self.hits, n)
+        self.held += sum(map(len, words)) + 4 * len(ids) + self.EACH * len(words)
         self.start[self.n : n] = self.used + np.cumsum(counts) - counts
         self.width[self.n : n] = counts
         self.flat[self.used : m] = ids
@@ -95,8 +120,8 @@ class WordEncoder:
         self.n, self.used = n, m
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if self.n > self.most:
-            self.clear()
+        if self.held > self.most_bytes:
+            self.compact()
         words: list[bytes] = []
         ends = []
         for t in texts:
@@ -106,9 +131,10 @@ class WordEncoder:
         unknown = np.flatnonzero(at < 0).tolist()
         if unknown:
             new = list(dict.fromkeys(words[i] for i in unknown))
-            for i in range(0, len(new), 512):
-                self.learn(new[i : i + 512])
+            for i in range(0, len(new), 256):
+                self.learn(new[i : i + 256])
             at[unknown] = [self.place[words[i]] for i in unknown]
+        self.hits[: self.n] += np.bincount(at, minlength=self.n)
         width = self.width[at]
         edges = np.concatenate([[0], np.cumsum(width)])
         flat = self.flat[np.repeat(self.start[at] - edges[:-1], width) + np.arange(edges[-1])]
