@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,25 @@ def small(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def trimmed(run):
+    """A function of Arrow batches that gives freed memory back to the system when its task ends.
+
+    Workers are reused, so what one operator leaves allocated would stand beside the next one's memory.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # a C library without it
+                pass
+
+    return wrapped
+
+
 def text_key(text: Column | str) -> Column:
     """64-bit hash of a text; with the id it names a row where ids repeat or are null."""
     return F.xxhash64(text)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import U64, gram_hashes, mix
+from vitrine.llm.common import U64, gram_hashes, mix, trimmed
 
 HITS = (
     "doc_id long, item_id long, item_words long, matched_words long, n_tiles long, coverage double, tiles string"
@@ -190,7 +190,7 @@ def hits(
                 kinds = [pa.int64()] * 5 + [pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
-        part = texts.mapInArrow(run, HITS)
+        part = texts.mapInArrow(trimmed(run), HITS)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -207,5 +207,5 @@ def clean(
                 keep = [not shard.value.hits(text, coverage) for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

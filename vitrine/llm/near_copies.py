@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import U64, gram_hashes, mix, small, word_hashes
+from vitrine.llm.common import U64, gram_hashes, mix, small, trimmed, word_hashes
 from vitrine.llm.components import components
 from vitrine.session import materialize
 
@@ -271,7 +271,7 @@ def profiles(docs: DataFrame, k: int, sketches: int) -> DataFrame:
                 )
 
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cols.mapInArrow(run, "doc_id long, fp binary, n long, keys array<long>")
+    return cols.mapInArrow(trimmed(run), "doc_id long, fp binary, n long, keys array<long>")
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
                     ok.append(alike(known[a], known[b], least))
                 yield some.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def prefix_of(runs: np.ndarray, n: int, counts: np.ndarray, k: int, least: float) -> np.ndarray:
@@ -339,7 +339,7 @@ def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
-    table = texts.select("_t").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = texts.select("_t").mapInArrow(trimmed(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[table["slot"].to_numpy()] = table["n"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(counts)
@@ -361,7 +361,7 @@ def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
                         names=["d", "n", "run"],
                     )
 
-    runs = texts.select("_id", "_t").mapInArrow(prefixes, "d long, n long, run long")
+    runs = texts.select("_id", "_t").mapInArrow(trimmed(prefixes), "d long, n long, run long")
     runs = materialize(runs.join(held, "d"), "near-prefixes")
     other = runs.withColumnsRenamed({"d": "o", "n": "on", "root": "oroot"})
     fits = F.abs(F.col("n") - F.col("on")) <= (1 - least) * F.greatest("n", "on") + 1e-9

@@ -13,6 +13,7 @@ other than id and text are ignored.
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import U64, mix
+from vitrine.llm.common import U64, mix, trimmed
 from vitrine.session import materialize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long"
@@ -43,14 +44,16 @@ class WordEncoder:
     """Token ids of texts, word by word, for a tokenizer that drops white space.
 
     Such a tokenizer treats each word by itself, so every distinct word is encoded once. About
-    ``most_bytes`` of words are remembered; beyond that those met once since the last time go first, then the
-    rarest, until half is free.
+    ``most_bytes`` of words are remembered; beyond that those go that one call only has met since the last time,
+    then the rarest, until half is free.
     """
 
     #: Bytes of a remembered word beside its letters and ids: dictionary entry, objects, places.
     EACH = 200
 
-    def __init__(self, path: str, most_bytes: int = 64_000_000):
+    def __init__(self, path: str, most_bytes: int = 96_000_000):
+        # A pool of threads in every worker would hold more memory than the words.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_bytes = Tokenizer.from_file(path), most_bytes
@@ -65,7 +68,7 @@ class WordEncoder:
         self.flat = np.zeros(1 << 16, np.uint32)
 
     def compact(self) -> None:
-        """Forget the words that were met once, and of the others the rarest beyond half the bytes."""
+        """Forget the words that one call has met, and of the others the rarest beyond half the bytes."""
         words, n = list(self.place), self.n
         size = np.fromiter(map(len, words), np.int64, n) + 4 * self.width[:n] + self.EACH
         often = np.flatnonzero(self.hits[:n] > 1)
@@ -134,7 +137,7 @@ class WordEncoder:
             for i in range(0, len(new), 256):
                 self.learn(new[i : i + 256])
             at[unknown] = [self.place[words[i]] for i in unknown]
-        self.hits[: self.n] += np.bincount(at, minlength=self.n)
+        self.hits[at] += 1  # once a call, however often the word stands in it
         width = self.width[at]
         edges = np.concatenate([[0], np.cumsum(width)])
         flat = self.flat[np.repeat(self.start[at] - edges[:-1], width) + np.arange(edges[-1])]
@@ -215,7 +218,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: its document, place and checksum, and its sequence and offset there."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    pieces = materialize(texts.mapInArrow(_pieces(tokenizer, end_id, length), PIECES), "pieces")
+    pieces = materialize(texts.mapInArrow(trimmed(_pieces(tokenizer, end_id, length)), PIECES), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
     dealt = pieces.withColumn("bucket", F.col("slot") % groups)
     return dealt.groupBy("bucket").applyInPandas(_fill(length), PACKED)

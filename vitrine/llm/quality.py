@@ -190,7 +190,7 @@ def features(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "tx", "mx"],
                 )
 
-    return cols.mapInArrow(run, "doc_id long, tx binary, mx binary")
+    return cols.mapInArrow(trimmed(run), "doc_id long, tx binary, mx binary")
 
 
 def _matrix(rows: list, field: str, dims: int) -> np.ndarray:
@@ -221,7 +221,7 @@ def _confident(docs: DataFrame, known: DataFrame, model: Model, sure: float, row
                         )
 
     cols = docs.select(F.col("doc_id").cast("long"), *_page_columns(docs))
-    ids = cols.mapInArrow(run, "doc_id long, view int, y int").where("doc_id is not null")
+    ids = cols.mapInArrow(trimmed(run), "doc_id long, view int, y int").where("doc_id is not null")
     ids = materialize(ids.join(known.select("doc_id"), "doc_id", "left_anti"), "quality-sure")
     counts = {(r["view"], r["y"]): r["count"] for r in ids.groupBy("view", "y").count().collect()}
     if not counts:
@@ -339,7 +339,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
                     names=["doc_id", "text_score", "meta_score", "score", "keep"],
                 )
 
-    return cols.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return cols.mapInArrow(trimmed(run), "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def keep(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
@@ -359,4 +359,4 @@ def keep(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
                 rows = [(None if t is None else t.encode(), la, so, n_) for t, la, so, n_ in zip(*cols)]
                 yield some.filter(pa.array(m.score(*_vectors(rows)) >= cut, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if n else docs
+    return docs.mapInArrow(trimmed(run), docs.schema) if n else docs
