@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm.common import trimmed
 from vitrine.session import materialize
 
 TEXT_DIMS = 256
