@@ -74,18 +74,21 @@ def unseen_counts(tx: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def entity_features(
-    tx: DataFrame, key: str, prefix: str, categ: list[str], conti: list[str]
+    tx: DataFrame, key: str, prefix: str, categ: list[str], conti: list[str], few: list[str] | None = None
 ) -> DataFrame:
     """Per entity: rows, days, distinct count and ratio of each categorical column, and
     min / max / mean / deviation of each numeric one.
 
     One aggregate with several exact distinct counts: Spark first shuffles on (key, value),
     which spreads an entity that holds a large part of the rows, and merges partial counts
-    per key afterwards.
+    per key afterwards. It copies each row once for every such count, so columns with ``few`` values, a number
+    that does not grow with the rows, are collected as sets instead, merged before the shuffle.
     """
+    few = few or []
     rows = f"{prefix}_nb_transactions"
     aggs = [F.count("*").cast("double").alias(rows), F.count_distinct("t_dat").cast("double").alias(f"{prefix}_nb_dates")]
-    aggs += [F.count_distinct(c).cast("double").alias(f"{prefix}_nb_{c}") for c in categ]
+    kinds = lambda c: F.size(F.collect_set(c)) if c in few else F.count_distinct(c)
+    aggs += [kinds(c).cast("double").alias(f"{prefix}_nb_{c}") for c in categ]
     for c in conti:
         aggs += [
             F.min(c).alias(f"{prefix}_{c}_min"),
@@ -101,12 +104,12 @@ def entity_features(
 
 def article_features(tx: DataFrame) -> DataFrame:
     conti = schemas.CUSTOMER_CONTI + schemas.TRANSACTION_CONTI
-    return entity_features(tx, "article_id", "art", schemas.CUSTOMER_CATEG, conti)
+    return entity_features(tx, "article_id", "art", schemas.CUSTOMER_CATEG, conti, schemas.CUSTOMER_FEW)
 
 
 def customer_features(tx: DataFrame) -> DataFrame:
     return entity_features(
-        tx, "customer_id", "cust", schemas.ARTICLE_CATEG, schemas.TRANSACTION_CONTI
+        tx, "customer_id", "cust", schemas.ARTICLE_CATEG, schemas.TRANSACTION_CONTI, schemas.ARTICLE_ATTRIBUTES
     )
 
 

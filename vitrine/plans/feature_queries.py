@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import clean as C
 from vitrine.operators import features as E
-from vitrine.plans.oracle import sql
+from vitrine.operators.mergeable import StatisticsStore
+from vitrine.plans.oracle import between, sql
 from vitrine.plans.registry import day, money, money_sql, num, num_sql, query, with_nums
-from vitrine.session import materialize
+from vitrine.session import materialize, run_dir
 from vitrine.sources import testdata as T
 from vitrine.sources.schemas import (
     ARTICLE_ATTRIBUTES,
@@ -165,6 +166,37 @@ def customer_features(spark, sf):
     return with_nums(E.customer_features(train), CUST_COLS)
 
 
+def _store(spark, rows, key, prefix, categ, conti, split, **params):
+    """Statistics of ``rows``, put in as two arrivals that meet within a month."""
+    store = StatisticsStore(spark, run_dir(spark, "statistics"), key, prefix, categ, conti, **params)
+    for part in (F.col("t_dat") < F.lit(split).cast("date"), F.col("t_dat") >= F.lit(split).cast("date")):
+        store.put(rows.where(part))
+    return store
+
+
+@query("article_features_merged", sql("warm_train", f"SELECT *{_rounded(ART_COLS)} FROM ({ART_FEATS_SQL})"))
+def article_features_merged(spark, sf):
+    """The statistics of all days, merged; distinct counts are estimates that are exact at this size."""
+    train, _ = warm_stage(spark, sf)
+    store = _store(spark, train, "article_id", "art", CUSTOMER_CATEG, ["age", "price"], "1998-03-12", unit_days=7)
+    return with_nums(store.features(*T.TRAIN), ART_COLS)
+
+
+SEEN = ("2024-01-05", "2024-01-21")
+SEEN_COLS = feature_names("cust", ["article_id"], ["price"])
+
+
+@query(
+    "activity_features_range",
+    sql("activity", "SELECT *" + _rounded(SEEN_COLS) + " FROM ("
+        + _entity_sql("customer_id", "cust", ["article_id"], ["price"], f"(SELECT * FROM activity WHERE {between(SEEN)})") + ")"),
+)
+def activity_features_range(spark, sf):
+    """The statistics of a range of days that begins and ends within a month."""
+    store = _store(spark, T.activity(spark, sf), "customer_id", "cust", ["article_id"], ["price"], "2024-01-11")
+    return with_nums(store.features(*SEEN), SEEN_COLS)
+
+
 MERGED_OUT = ["cust_nb_transactions", "cust_price_mean", "cust_ratio_article_id", "art_nb_transactions", "art_age_mean", "art_price_std"]
 
 

@@ -36,6 +36,8 @@ CUSTOMER_ATTRIBUTES = [
     "age_interval",
     "postal_code",
 ]
+# Of the customer columns those whose number of values is fixed, however many customers there are.
+CUSTOMER_FEW = ["FN", "Active", "club_member_status", "fashion_news_frequency", "age_interval"]
 ARTICLE_CATEG = ["article_id", *ARTICLE_ATTRIBUTES]
 CUSTOMER_CATEG = ["customer_id", *CUSTOMER_ATTRIBUTES]
 CUSTOMER_CONTI = ["age"]
@@ -49,7 +51,7 @@ ROLLING_FEATURES = [
     "days_since_last_customer_trans",
 ]
 
-# Facet key of a feed request -> article column.
+# Facet key of a feed request -> article column.
 FACETS = {
     "product_type": "product_type_name",
     "product_group": "product_group_name",
