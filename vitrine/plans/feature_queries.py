@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import clean as C
 from vitrine.operators import features as E
+from vitrine.operators import unseen as U
 from vitrine.operators.mergeable import StatisticsStore
 from vitrine.plans.oracle import between, sql
 from vitrine.plans.registry import day, money, money_sql, num, num_sql, query, with_nums
@@ -123,6 +124,47 @@ def unseen_counts(spark, sf):
     return E.unseen_counts(T.transactions(spark, sf), T.articles(spark, sf))
 
 
+NUMBERED = """numbered AS MATERIALIZED (SELECT article_id, row_number() OVER (ORDER BY md5(article_id), article_id) - 1 AS number FROM (
+  SELECT DISTINCT article_id FROM articles))"""
+
+
+@query(
+    "unseen_bitmaps",
+    sql("transactions articles", """SELECT customer_id, CAST(number // 512 AS INTEGER) AS bucket, CAST(count(*) AS INTEGER) AS size,
+  count(*) - count(b.article_id) AS unseen, CAST(min(number % 512) FILTER (b.article_id IS NULL) AS INTEGER) AS lowest
+FROM (SELECT DISTINCT customer_id FROM transactions) CROSS JOIN numbered
+LEFT JOIN (SELECT DISTINCT customer_id, article_id FROM transactions) b USING (customer_id, article_id)
+GROUP BY customer_id, number // 512""", NUMBERED),
+)
+def unseen_bitmaps(spark, sf):
+    """Bits of the articles that each customer never bought, by buckets of 512: their number and the lowest."""
+    bitmaps = U.unseen_bitmaps(T.transactions(spark, sf), T.articles(spark, sf), bits=512)
+    # The first byte that is not zero, then the lowest bit in it.
+    zeros = F.length(F.regexp_extract(F.hex("unseen"), "^(?:00)*", 0))
+    byte = F.conv(F.substring(F.hex("unseen"), zeros + 1, F.lit(2)), 16, 10).cast("int")
+    low = F.log2(byte.bitwiseAND(-byte)).cast("int")
+    lowest = F.when(F.bitmap_count("unseen") > 0, zeros * 4 + low).cast("int")
+    return bitmaps.select("customer_id", "bucket", "size", F.bitmap_count("unseen").alias("unseen"), lowest.alias("lowest"))
+
+
+@query(
+    "unseen_pairs",
+    sql("transactions articles", """SELECT p.customer_id, p.article_id, b.article_id IS NULL AS unseen FROM (
+  SELECT customer_id, CAST((CAST(article_id AS BIGINT) + 1) % (SELECT count(*) FROM articles) AS VARCHAR) AS article_id
+  FROM (SELECT DISTINCT customer_id, article_id FROM transactions)) p JOIN articles USING (article_id)
+LEFT JOIN (SELECT DISTINCT customer_id, article_id FROM transactions) b USING (customer_id, article_id)"""),
+)
+def unseen_pairs(spark, sf):
+    """Whether the article after each bought one was bought as well, asked of the bitmaps."""
+    tx, articles = T.transactions(spark, sf), T.articles(spark, sf)
+    catalog = materialize(U.numbered_catalog(articles, 512), "catalog")
+    size = catalog.count()
+    after = ((F.col("article_id").cast("long") + 1) % size).cast("string").alias("article_id")
+    pairs = E.keep_keys(tx.select("customer_id", "article_id").distinct().select("customer_id", after), articles.select("article_id"), "article_id")
+    bitmaps = U.unseen_bitmaps(tx, articles, 512, catalog)
+    return U.unseen_pairs(pairs, bitmaps, catalog).select("customer_id", "article_id", "unseen")
+
+
 def _entity_sql(key, prefix, categ, conti, source):
     parts = ["count(*)::DOUBLE AS {0}_nb_transactions", "count(DISTINCT t_dat)::DOUBLE AS {0}_nb_dates"]
     for c in categ:
