@@ -9,6 +9,7 @@ from vitrine.operators import evaluate as V
 from vitrine.operators import retrieval as R
 from vitrine.operators.clean import split_by_date
 from vitrine.operators.encode import label_probs
+from vitrine.operators.pruned import retrieve_threshold_pruned as retrieve_threshold_by_blocks
 from vitrine.plans.feature_queries import splits
 from vitrine.plans.jobs import run_retrieval
 from vitrine.plans.oracle import sql
@@ -77,6 +78,14 @@ def retrieve_threshold(spark, sf):
     return R.retrieve_threshold(users(spark, sf), items(spark, sf), DIM, THRESHOLD, TOP_K)
 
 
+@query("retrieve_threshold_pruned", sql("scores", _THRESHOLD_SQL))
+def retrieve_threshold_pruned(spark, sf):
+    """The same rows from blocks cut by space, of which the pairs too far apart are skipped."""
+    return retrieve_threshold_by_blocks(
+        users(spark, sf), items(spark, sf), DIM, THRESHOLD, TOP_K, pivots=16, user_block=512, item_block=512
+    )
+
+
 @query(
     "score_pairs",
     sql("scores val", "SELECT txn_id, COALESCE(score, 0.0) AS score FROM val LEFT JOIN scores USING (customer_id, article_id)"),
