@@ -9,6 +9,7 @@ from vitrine.operators import evaluate as V
 from vitrine.operators import retrieval as R
 from vitrine.operators.clean import split_by_date
 from vitrine.operators.encode import label_probs
+from vitrine.operators.fold_in import fold_in
 from vitrine.operators.pruned import retrieve_threshold_pruned as retrieve_threshold_by_blocks
 from vitrine.plans.feature_queries import splits
 from vitrine.plans.jobs import run_retrieval
@@ -105,6 +106,17 @@ def als_retrieval(spark, sf):
     return R.retrieve_topk(factors, item_factors, 8, TOP_K)
 
 
+@query("als_fold_in")
+def als_fold_in(spark, sf):
+    """Top articles of every customer of both splits: the fit knows the training purchases only, later customers
+    and purchases are folded in; a seeded fit, so no SQL."""
+    train, val = splits(spark, sf)
+    _, factors = R.fit_retrieval(train, rank=8, iterations=4)
+    factors = materialize(factors, "item-factors")
+    vectors = fold_in(train.unionByName(val), factors, 8)
+    return R.retrieve_topk(vectors, factors, 8, TOP_K)
+
+
 @query(
     "recall_at_k",
     sql("topk val", " UNION ALL ".join(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import candidates as K
 from vitrine.operators import search as S
+from vitrine.operators import text_join as J
 from vitrine.operators.analytics import facet_rows
 from vitrine.operators.clean import display_defaults
 from vitrine.plans.jobs import run_search
@@ -141,6 +142,17 @@ def text_search(spark, sf):
     return _text_results(spark, sf)
 
 
+@query(
+    "text_search_batch",
+    sql("weights", """SELECT q.article_id AS query_id, d.article_id, round(sum(q.weight * d.weight), 9) AS similarity
+FROM weights q JOIN weights d USING (term) GROUP BY q.article_id, d.article_id HAVING round(sum(q.weight * d.weight), 9) >= 0.5"""),
+)
+def text_search_batch(spark, sf):
+    """Every description asked of all descriptions."""
+    queries = _docs(spark, sf).select(F.col("article_id").alias("query_id"), F.col("detail_desc").alias("text"))
+    return J.text_search_batch(queries, _stored_model(spark, sf), 0.5)
+
+
 @query("search_details", sql("candidates weights", f"SELECT customer_id, article_id, rank, detail_desc, similarity FROM ({_TEXT}) JOIN described USING (article_id)"))
 def search_details(spark, sf):
     model = _stored_model(spark, sf)
