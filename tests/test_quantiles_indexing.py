@@ -87,3 +87,16 @@ def test_shares_and_concentration(spark):
     assert top[1] == pytest.approx(9 / 17 * 100) and top[10] == pytest.approx(100)
     exact = A.sold_exactly(df.withColumnRenamed("q", "sold_qty"), 1).collect()
     assert [r.article_id for r in exact] == ["b"]
+
+
+def test_binned_density_is_near_the_exact_one(spark):
+    r = np.random.default_rng(6)
+    values = np.concatenate([r.normal(0, 1, 400), r.normal(9, 0.2, 300), [40.0]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    exact = A.kde(df, "v").toPandas().sort_values("point")
+    bw = len(values) ** -0.2 * values.std(ddof=1)
+    for mesh in (256, 4096):
+        binned = A.kde_binned(df, "v", mesh=mesh).toPandas().sort_values("point")
+        d = (values.max() - values.min() + 6 * bw) / (mesh - 1) / bw
+        assert np.allclose(binned.x, exact.x)
+        assert np.abs(binned.density.to_numpy() - exact.density.to_numpy()).max() <= 0.05 * d**2 / bw + 1e-12

@@ -165,6 +165,42 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0) -> DataFrame
     )
 
 
+def kde_binned(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, mesh: int = 4096) -> DataFrame:
+    """``kde`` from values shared out over an even mesh, for columns whose values are all distinct.
+
+    Each value counts for the mesh points on both sides of it, the more the nearer, and the mesh is then
+    convolved with the kernel: rows are read twice and ``mesh * grid`` terms added, however many rows
+    there are. With mesh steps of ``d`` bandwidths a density is off by ``0.05 * d ** 2 / bandwidth`` at most.
+    """
+    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
+    shape = values.agg(
+        F.struct(
+            F.count("v").alias("n"),
+            F.min("v").alias("lo"),
+            F.max("v").alias("hi"),
+            (F.pow(F.count("v"), F.lit(-0.2)) * F.stddev_samp("v")).alias("bw"),
+        )
+    ).scalar()
+    bw = shape["bw"]
+    low = shape["lo"] - cut * bw
+    width = shape["hi"] - shape["lo"] + 2 * cut * bw
+    fine, step = width / (mesh - 1), width / (grid - 1)
+    at = (F.col("v") - low) / fine
+    cell = F.floor(at).cast("int")
+    shares = values.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum(at - cell).alias("up"))
+    left = shares.select("cell", (F.col("n") - F.col("up")).alias("w"))
+    right = shares.select((F.col("cell") + 1).alias("cell"), F.col("up").alias("w"))
+    points = left.unionByName(right).groupBy("cell").agg(F.sum("w").alias("w"))
+    met = points.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    z = (F.col("point") * step - F.col("cell") * fine) / bw
+    dens = met.groupBy("point").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("s"))
+    return dens.select(
+        "point",
+        (low + F.col("point") * step).alias("x"),
+        (F.col("s") / (shape["n"] * bw * (2 * 3.141592653589793) ** 0.5)).alias("density"),
+    )
+
+
 def segment_stats(df: DataFrame, by: str, col: str) -> DataFrame:
     """Sum, mean, whole-number mean and exact median per segment, and over all rows as ``ALL``.
 

@@ -283,6 +283,25 @@ def customer_qty_kde(spark, sf):
     return _kde(_details(spark, sf), "qty")
 
 
+@query(
+    "activity_value_kde",
+    sql("activity", f"""SELECT CAST(point AS INTEGER) AS point, {num_sql('lo + point * step')} AS x,
+ round(sum(w * exp(-0.5 * pow((point * step - cell * fine) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())) * 1e6 + 3.3e-8, 6) AS density_e6
+FROM points CROSS JOIN (SELECT unnest(range(200)) AS point) CROSS JOIN shape GROUP BY point, lo, step""",
+        """vals AS (SELECT price::DOUBLE AS v FROM activity WHERE price IS NOT NULL),
+shape AS MATERIALIZED (SELECT *, lo0 - 3 * bw AS lo, (hi0 - lo0 + 6 * bw) / 4095 AS fine, (hi0 - lo0 + 6 * bw) / 199 AS step FROM (
+  SELECT count(v) AS n, min(v) AS lo0, max(v) AS hi0, pow(count(v), -0.2) * stddev_samp(v) AS bw FROM vals)),
+placed AS (SELECT floor((v - lo) / fine) AS cell, (v - lo) / fine AS place FROM vals CROSS JOIN shape),
+points AS MATERIALIZED (SELECT cell, sum(w) AS w FROM (SELECT cell, 1 - (place - cell) AS w FROM placed
+  UNION ALL SELECT cell + 1 AS cell, place - cell AS w FROM placed) GROUP BY cell)"""),
+)
+def activity_value_kde(spark, sf):
+    """Density of a column whose values are all distinct, from a mesh."""
+    out = A.kde_binned(T.activity(spark, sf), "price")
+    return out.select("point", num("x").alias("x"), num(F.col("density") * 1e6).alias("density_e6"))
+
+
+
 @query("age_interval_counts", sql("customers", "SELECT age_interval, count(*) AS n FROM customers GROUP BY ALL"))
 def age_interval_counts(spark, sf):
     from vitrine.operators.clean import impute_median
