@@ -10,7 +10,7 @@ edits allowed; pairs that share too few word pairs to align are dropped before,
 Links are joined to classes; buckets that still hold several classes are looked at again. Up to ``crowd`` texts
 are paired each with each of another class; of larger buckets with up to ``crowd`` classes the smallest ids of
 the classes are paired, and classes joined. All texts of larger buckets that hold several classes even then
-are paired by a prefix filter: texts alike must share one of their rarest runs of two words (so many that it
+are paired by a prefix filter: texts alike must share one of their rarest words (so many that it
 follows from the edits allowed), whatever common passage brought them together. So every link between
 texts of a bucket joins their classes, and no list of all pairs of a large bucket is made. Texts with the
 same words are one text before all this and share its class.
@@ -39,7 +39,7 @@ ROWS = 2_000_000  # hashes of a sketch drawn at once
 SHORT = 1_000  # words up to which the band is aligned at once
 FEW = 40  # edits looked for one diagonal at a time in longer texts
 LONG = 30_000  # words beyond which the bit masks of all words would be large
-SLOTS = 1 << 20  # counters that order the runs of two words by rarity
+SLOTS = 1 << 20  # counters that order the words by rarity
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,8 +83,8 @@ def order_minhash(runs: np.ndarray, sketches: int) -> np.ndarray:
 
 
 def _enough_shared(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Exact filter: ``most`` edits leave at least so many common runs of two and of three words."""
-    for k in (2, 3):
+    """Exact filter: ``most`` edits leave at least so many common words, runs of two and runs of three words."""
+    for k in (1, 2, 3):
         needed = max(len(a), len(b)) - k + 1 - k * most
         if needed <= 0:
             continue
@@ -286,7 +286,8 @@ def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """The pairs ``(a, b)`` whose texts align."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), docs)
+    ids = [pairs.select(F.col(c).alias("_id")).distinct() for c in ("a", "b")]
+    texts = _texts(ids[0].unionByName(ids[1]).distinct(), docs)
     rows = pairs.join(texts.withColumnsRenamed({"_id": "a", "_t": "ta"}), "a").join(
         texts.withColumnsRenamed({"_id": "b", "_t": "tb"}), "b"
     )
@@ -325,7 +326,9 @@ def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     The order of the runs is their count among these texts, summed in ``SLOTS`` slots by hash.
     """
-    k = 2 if least >= 0.7 else 1  # beyond, two words that change may leave no run of two in common
+    # Single words: one edit changes one of them, but two runs of two words. So more of them must be shared
+    # and the prefix is half as long; what a common passage brings into all texts lies beyond it for the most part.
+    k = 1
     held = materialize(held, "near-held")
     texts = _texts(held.select(F.col("d").alias("_id")).distinct(), docs)
 
