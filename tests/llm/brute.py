@@ -164,3 +164,69 @@ def hard_negatives(rows, anchors, positives: int, negatives: int, low: int, high
             fit = [(-t, i) for t, i, same in scored if not same and low * s <= -100 * t <= high * s]
             out += [(a, pos, n + 1, i, s, t) for n, (t, i) in enumerate(fit[:negatives])]
     return sorted(out)
+
+
+ID_LIKE = re.compile(r"^([0-9]+|[0-9a-f]{8,}|[^0-9]*[0-9].*)$")
+
+
+def url_tree(pages, depth: int = 5, most: int = 20, share: float = 0.05, doubt: float = 0.05, z: float = 1.96):
+    """(template, purity, label count) of each (host, path, label) by the tree's rules, host by host."""
+    from collections import Counter, defaultdict
+
+    def segments(path):
+        segs = [re.sub(r"^[^.]*[0-9][^.]*", "*", s) if ID_LIKE.match(s) else s for s in path.split("/") if s]
+        return tuple(segs if len(segs) <= depth + 1 else [*segs[:depth], "/".join(segs[depth:])])
+
+    count, labels = Counter(), defaultdict(list)
+    for host, path, label in pages:
+        key = (host, segments(path))
+        count[key] += 1
+        if label is not None:
+            labels[key].append(label)
+    kids = defaultdict(Counter)
+    for (host, segs), n in count.items():
+        for i, s in enumerate(segs):
+            kids[host, i, segs[:i]][s] += n
+
+    def general(host, segs):
+        out = []
+        for i, s in enumerate(segs):
+            own = kids[host, i, segs[:i]]
+            out.append("*" if len(own) > most and own[s] < share * sum(own.values()) else s)
+        return tuple(out)
+
+    now = {key: general(*key) for key in count}
+    for d in range(depth - 1, -1, -1):
+        spread, marks = defaultdict(lambda: defaultdict(Counter)), defaultdict(lambda: defaultdict(list))
+        for key, segs in now.items():
+            if len(segs) > d + 1:
+                spread[key[0], segs[:d]][segs[d]][segs[d + 1 :]] += count[key]
+                marks[key[0], segs[:d]][segs[d]] += labels[key]
+        twins = set()
+        for node, children in spread.items():
+            pool = sum(children.values(), Counter())
+            said = [x for c in children for x in marks[node][c]]
+            for child, own in children.items():
+                nc, mine = sum(own.values()), marks[node][child]
+                common = sum(min(n / nc, pool[r] / sum(pool.values())) for r, n in own.items())
+                fits = 1 - common <= math.sqrt(len(pool) / (4 * nc)) + math.sqrt(math.log(1 / doubt) / 2 / nc)
+                if mine:
+                    rate = sum(said) / len(said)
+                    fits = fits and (sum(mine) - len(mine) * rate) ** 2 <= z * z * len(mine) * rate * (1 - rate)
+                if len(children) > 1 and fits:
+                    twins.add((*node, child))
+        now = {
+            k: (*s[:d], "{*}", *s[d + 1 :]) if len(s) > d + 1 and (k[0], s[:d], s[d]) in twins else s for k, s in now.items()
+        }
+    held, hosts, every = defaultdict(list), defaultdict(list), []
+    for key, segs in now.items():
+        held[key[0], segs] += labels[key]
+        hosts[key[0]] += labels[key]
+        every += labels[key]
+    out = []
+    for host, path, _ in pages:
+        segs = now[host, segments(path)]
+        own, at = held[host, segs], hosts[host]
+        prior = (sum(at) + 4 * (sum(every) + 1) / (len(every) + 2)) / (len(at) + 4)
+        out.append(("/" + "/".join(segs), round((sum(own) + 4 * prior) / (len(own) + 4), 6), len(own)))
+    return out

@@ -388,3 +388,48 @@ def test_url_rules_and_templates(spark):
     data = [(i, f"http://h.com/{'spam' if i % 2 else 'news'}/{i}/x", i % 2 if i < 60 else None) for i in range(100)]
     got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_tree.verdicts(spark.createDataFrame(data, "page_id long, url string, bad int"), label="bad").collect()}
     assert got[91] == ("/spam/*/x", "block") and got[90] == ("/news/*/x", "allow")
+
+
+def _urls(seed):
+    r = random.Random(seed)
+    kinds = ["x/{n}", "x/{n}/print", "y/a/b/c/d/e/{n}", "y/a/b/c/d/f", "{u}/photo/{n}.jpg", "{u}/about", "{n}", ""]
+    out = []
+    for i in range(700):
+        host = r.choice(["h.com", "h.com", "k.org", "m.example.com"])
+        top = r.choice(["de/", "en/", "fr/", "shop/", ""])
+        odd = top == "shop/"
+        path = top + r.choice(kinds[:2] if odd else kinds).format(n=r.randint(1, 9999), u=f"user{chr(97 + r.randint(0, 25))}{chr(97 + r.randint(0, 25))}")
+        label = (1 if top == "de/" else 0) if top in ("de/", "fr/") and r.random() < 0.5 else None
+        out.append((i, f"http://{host}/{path}?q=/z/{i}", label))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_url_tree_against_plain_tree(spark, seed):
+    data = _urls(seed)
+    got = {r["page_id"]: r for r in url_tree.verdicts(spark.createDataFrame(data, "page_id long, url string, bad int"), label="bad").collect()}
+    plain = [(*brute.url(u, url_tree.RULES)[:2], label) for _, u, label in data]
+    for (i, u, _), (template, purity, n) in zip(data, brute.url_tree(plain)):
+        assert (got[i]["template"], got[i]["purity"]) == (template, pytest.approx(purity, abs=2e-6)), u
+        verdict = brute.url(u, url_tree.RULES)[3] or ("block" if purity >= 0.5 and n >= 3 else "allow")
+        assert got[i]["verdict"] == verdict
+    assert any("{*}" in r["template"] for r in got.values()) and {r["verdict"] for r in got.values()} == {"allow", "block"}
+
+
+def test_urls_without_a_rule_follow_their_twins(spark):
+    pages = [f"http://a.example.com/{lang}/{i}{'.html' if i % 5 == 0 else ''}" for lang in ("de", "en", "fr") for i in range(40)]
+    pages += [f"http://a.example.com/docs/{name}" for name in ("intro/one", "intro/two", "guide/x/y", "terms") for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    for r in url_tree.verdicts(df).collect():
+        twin = r["path"].startswith(("/de/", "/en/", "/fr/"))
+        assert r["verdict"] == ("block" if twin else "allow") and (r["rule"] is not None) == r["path"].startswith("/de/")
+
+
+def test_long_and_odd_urls(spark):
+    deep = "http://h.com/" + "/".join(["a", "b"] * 600)
+    pages = [deep + "/x", deep + "/y", "http://h.com/" + "z" * 100_000, "http://h.com/" + "/" * 5000, "http://h.com", "http:///p", "a://b://c/d", None, None]
+    df = spark.createDataFrame([(i, u, "c", 1) for i, u in enumerate(pages)] + [(None, pages[0], "c", 1)], "page_id long, url string, template string, n int")
+    got = url_tree.verdicts(df).collect()
+    assert len(got) == len(pages) + 1 and all(r["verdict"] == "allow" for r in got)
+    one, two = (next(r["template"] for r in got if r["page_id"] == i) for i in (0, 1))
+    assert one != two  # what is deeper than the tree still tells templates apart

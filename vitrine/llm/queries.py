@@ -130,7 +130,70 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
 
 
-@query("op10_url_filter")
+def _url_sql(depth: int = 5, most: int = 20, share: float = 0.05, doubt: float = 0.05, z: float = 1.96) -> str:
+    """The rules and the template tree, one group of WITH parts a level."""
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    ordered = sorted(url_tree.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered)
+    said = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered)
+    levels = []
+    for d in range(depth - 1, -1, -1):
+        before = "m" + str(d + 1) if d < depth - 1 else "g"
+        levels.append(f"""
+w{d} AS MATERIALIZED (SELECT *, array_to_string(segs[1:{d}], '/') AS up, CASE WHEN len(segs) > {d + 1} THEN segs[{d + 1}] END AS child,
+  array_to_string(segs[{d + 2}:], '/') AS rest FROM {before}),
+c{d} AS MATERIALIZED (SELECT host, up, child, rest, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM w{d} WHERE child IS NOT NULL GROUP BY ALL),
+b{d} AS MATERIALIZED (SELECT host, up, child, sum(n) AS nc, sum(l) AS lc, sum(b) AS bc FROM c{d} GROUP BY ALL),
+p{d} AS (SELECT host, up, count(*) AS kids, sum(nc) AS na, sum(lc) AS la, sum(bc) AS ba FROM b{d} GROUP BY ALL),
+s{d} AS MATERIALIZED (SELECT host, up, rest, sum(n) AS nr FROM c{d} GROUP BY ALL),
+z{d} AS MATERIALIZED (SELECT * FROM b{d} JOIN p{d} USING (host, up) JOIN (SELECT host, up, count(*) AS rests FROM s{d} GROUP BY ALL) USING (host, up)),
+o{d} AS (SELECT c.host, c.up, c.child, sum(least(c.n / z.nc, s.nr / z.na)) AS common FROM c{d} c JOIN s{d} s USING (host, up, rest)
+  JOIN z{d} z ON z.host = c.host AND z.up = c.up AND z.child = c.child GROUP BY ALL),
+t{d} AS (SELECT host, up, child FROM z{d} JOIN o{d} USING (host, up, child) WHERE kids > 1
+  AND 1 - common <= sqrt(rests / (4 * nc)) + sqrt(ln(1 / {doubt}::DOUBLE) / 2 / nc)
+  AND (lc = 0 OR pow(bc - lc * (ba / la), 2) <= {z * z}::DOUBLE * lc * (ba / la) * (1 - ba / la))),
+m{d} AS MATERIALIZED (SELECT host, shape, n, l, b, CASE WHEN t.child IS NULL THEN segs
+  ELSE list_concat(list_append(segs[1:{d}], '{{*}}'), segs[{d + 2}:]) END AS segs FROM w{d} w LEFT JOIN t{d} t USING (host, up, child))""")
+    id_like = "'^([0-9]+|[0-9a-f]{8,}|[^0-9]*[0-9].*)$'"
+    return f"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{url_tree.UPPER}', '{url_tree.LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), r AS MATERIALIZED (
+  SELECT *, CASE {rule} END AS rule, CASE {said} END AS said,
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x:
+      CASE WHEN regexp_matches(x, {id_like}) THEN regexp_replace(x, '^[^.]*[0-9][^.]*', '*') ELSE x END) AS starred
+  FROM u
+), base AS MATERIALIZED (
+  SELECT *, array_to_string(segs, '/') AS shape FROM (SELECT page_id, host, path, rule, said,
+    CASE WHEN len(starred) > {depth + 1} THEN list_append(starred[1:{depth}], array_to_string(starred[{depth + 1}:], '/')) ELSE starred END AS segs FROM r)
+), sh AS MATERIALIZED (
+  SELECT host, shape, count(*) AS n, count(said) AS l, (count(*) FILTER (said = 'block'))::DOUBLE AS b, min(segs) AS segs FROM base GROUP BY host, shape
+), nodes AS MATERIALIZED (
+  SELECT host, shape, n, segs[i + 1] AS child, i, array_to_string(segs[1:i], '/') AS up FROM (SELECT *, unnest(range(len(segs))) AS i FROM sh)
+), kid AS (SELECT host, i, up, child, sum(n) AS nk FROM nodes GROUP BY ALL),
+rare AS (
+  SELECT host, i, up, child FROM kid JOIN (SELECT host, i, up, count(*) AS kids, sum(nk) AS total FROM kid GROUP BY ALL) USING (host, i, up)
+  WHERE kids > {most} AND nk < {share}::DOUBLE * total
+), named AS (
+  SELECT x.host, x.shape, list(CASE WHEN y.child IS NULL THEN x.child ELSE '*' END ORDER BY x.i) AS segs
+  FROM nodes x LEFT JOIN rare y USING (host, i, up, child) GROUP BY x.host, x.shape
+), g AS MATERIALIZED (SELECT sh.host, sh.shape, n, l, b, coalesce(named.segs, []::VARCHAR[]) AS segs FROM sh LEFT JOIN named USING (host, shape)),
+{",".join(levels)},
+f AS MATERIALIZED (SELECT *, '/' || array_to_string(segs, '/') AS template FROM m0),
+k AS (SELECT host, template, sum(l) AS l, sum(b) AS b FROM f GROUP BY ALL),
+h AS (SELECT host, sum(l) AS hl, sum(b) AS hb FROM k GROUP BY host),
+q AS (
+  SELECT host, template, k.l, round((k.b + 4 * ((hb + 4 * (sum(k.b) OVER () + 1) / (sum(k.l) OVER () + 2)) / (hl + 4))) / (k.l + 4), 6) AS purity
+  FROM k JOIN h USING (host)
+)
+SELECT base.page_id, base.host, base.path, base.rule, f.template, q.purity,
+  coalesce(base.said, CASE WHEN q.purity >= 0.5 AND q.l >= 3 THEN 'block' ELSE 'allow' END) AS verdict
+FROM base LEFT JOIN f USING (host, shape) LEFT JOIN q ON q.host = f.host AND q.template = f.template
+"""
+
+
+@query("op10_url_filter", _url_sql())
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return url_tree.verdicts(table(spark, sf, "pages"))
 
