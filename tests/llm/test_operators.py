@@ -364,6 +364,38 @@ def test_page_text_of_ordinary_markup():
     assert html_text.main_text(f"<body><div class=comments><article class=comment>{body}</article></div>") == ""
 
 
+PROSE = "the article says a good many things " * 4
+PARA, SAID = f"<p>{PROSE}</p>", " ".join(PROSE.split())
+NOISE = "<nav><a href=/>Home</a> <a href=/b>News</a></nav>"
+FOOT = "<div class=footer>All rights and so on</div>"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f'<article><div class="elementor-widget elementor-widget-text">{PARA}</div></article>', SAID),
+        (f'<body>{NOISE}<div id="page" class="has-sidebar">{PARA}{PARA}</div>{FOOT}', f"{SAID}\n{SAID}"),
+        (f'<body>{NOISE}<div class="content ad-free">{PARA}</div>{FOOT}', SAID),
+        (f'<body>{NOISE}<div class="post header-image">{PARA}</div>{FOOT}', SAID),
+        (f'<article>{PARA}<section id="search-methods"><h2>How we searched</h2>{PARA}</section></article>', f"{SAID}\nHow we searched\n{SAID}"),
+        (f'<body><form id="aspnetForm">{NOISE}<article>{PARA}</article></form>', SAID),
+        (f'<body><form id="aspnetForm">{NOISE}<div class="content">{PARA}</div></form>', SAID),
+        # What is furniture stays so, in the article and beside it.
+        (f'<article>{PARA}<div class="ad">Buy a great many things now for less</div><form>Sign up here <input></form></article>', SAID),
+        (f'<body><div class="ad">{PROSE}</div><article><p>Short one.</p></article>', "Short one."),
+        (f'<body><div class="newsletter">{PROSE}</div><article>{PARA}</article><div class="comments">{PARA}{PARA}{PARA}</div>', SAID),
+        (f'<body>{PARA}<div id="comments" class="post">{PARA}{PARA}{PARA}</div>', SAID),
+        (f'<body>{NOISE}<form>{PROSE}</form><article>{PARA}</article>', SAID),
+        # Inside a kept article.
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so.</p><address>By Ann</address></article>", "Let x=2 be so.\nBy Ann"),
+        # Pages that name no article: short texts in the element that holds the text.
+        (f"<body>{NOISE}<div class=menu>Some menu</div><div id=w><div><h1>Big</h1><p>One.</p><p>Two words.</p><table><tr><td>a<td>b</table><ul><li>c d</ul></div></div>{FOOT}", "Big\nOne.\nTwo words.\na\nb\nc d"),
+    ],
+)
+def test_names_alone_do_not_decide(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_page_tree_on_a_grid():
     r, tree = random.Random(1), html_text._tree()
     for _ in range(3000):

@@ -5,6 +5,11 @@ those of the blocks before and after it, and whether it stands in page furniture
 class, id or role), in the article's element, or is a heading. A decision tree, trained here on
 the small labelled table below, says which blocks are main text.
 
+Names that only sound like furniture do not decide alone. An element is none if, for all its name, it holds prose
+inside an article, or most of the words of a page without an article element; names of readers' comments, notices and
+the like stand in any case. So does a form that holds most of the page. On a page without an article
+element, or a name for one, the smallest element that holds most of the unlinked words is taken for it.
+
 A null html is empty and gives an empty text. Broken markup is read as browsers do: an open
 comment, script or tag runs to the end, missing end tags are implied; only raw elements written as
 self-closing (``<iframe/>``) are empty, as XHTML pages mean them. Pages are judged one by
@@ -18,6 +23,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +32,13 @@ from pyspark.sql import functions as F
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg math iframe object textarea select title".split()
+RAW = "script style noscript template svg iframe object textarea select title".split()
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
     "th thead tr ul".split()
 )
-CHROME = frozenset("nav footer aside form dialog menu button fieldset address".split())
+CHROME = frozenset("nav footer aside dialog menu button fieldset".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
@@ -42,7 +48,18 @@ HINTS = frozenset(
     "footer header masthead topbar share sharing social comment comments commentlist disqus replies reply respond "
     "related recommended widget widgets copyright disclaimer skip search tags".split()
 )
+#: Of these the names that stand whatever the element holds, and those of advertising.
+FIRM_HINTS = frozenset(
+    "cookie cookies consent gdpr notification alert popup modal overlay newsletter subscribe subscription signup login "
+    "breadcrumb breadcrumbs pagination pager comment comments commentlist disqus replies reply respond related "
+    "recommended copyright disclaimer".split()
+)
+AD_HINTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored sponsors promo promotion".split()
+)
 CONTENT_HINTS = frozenset("article content post entry story articlebody maincontent".split())
+#: Words from which on an unlinked block is prose, and the share of links up to which it is unlinked.
+PROSE, UNLINKED = 8, 0.3
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)"
@@ -69,25 +86,91 @@ def _hidden(attrs: str) -> bool:
 
 
 @lru_cache(maxsize=65536)
-def _hints(attrs: str) -> tuple[bool, bool, bool]:
-    """Do class, id or role name page furniture, or content? Is the element hidden?"""
+def _hints(attrs: str) -> tuple[str, bool, bool]:
+    """What furniture do class, id or role name ("firm", "ad", "weak" or none), do they name content, is it hidden?"""
     parts = {p.lower() for v in _ATTR.findall(attrs) for p in _PART.findall(v)}
-    return bool(parts & HINTS), bool(parts & CONTENT_HINTS), _hidden(attrs)
+    kind = "firm" if parts & FIRM_HINTS else "ad" if parts & AD_HINTS else "weak" if parts & HINTS else ""
+    return kind, bool(parts & CONTENT_HINTS), _hidden(attrs)
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "chrome", "content", "heading")
+    __slots__ = ("text", "words", "linked", "chrome", "content", "heading", "doubts", "element")
 
-    def __init__(self, text, linked, chrome, content, heading):
+    def __init__(self, text, linked, where):
         self.text, self.linked = text, linked
         self.words = text.count(" ") + 1
-        self.chrome, self.content, self.heading = chrome, content, heading
+        self.chrome, self.content, self.heading = where.furniture, where.article, where.heading
+        self.doubts, self.element = where.doubts, where.element
+
+    @property
+    def unlinked(self) -> bool:
+        return self.linked <= UNLINKED * self.words
+
+
+class Open(NamedTuple):
+    """An open element: where its text would stand. ``firm`` is furniture that an article inside does not undo,
+    ``doubts`` are the elements around it that may be furniture."""
+
+    name: str
+    furniture: bool = False
+    article: bool = False
+    link: bool = False
+    heading: bool = False
+    firm: bool = False
+    doubts: tuple[int, ...] = ()
+    element: int = 0
+
+
+class Doubt(NamedTuple):
+    """An element that is furniture by its name only, or a form."""
+
+    kind: str  # "weak", "ad" or "form"
+    named: bool  # it is also named as content
+    inside: bool  # it stands in an article
+
+
+def _settle(blocks: list[Block], doubts: list[Doubt], parents: list[int], article: bool) -> None:
+    """Decide which doubtful elements are furniture; find the text's element on a page that names none."""
+    if doubts:
+        total = sum(b.words for b in blocks if not b.chrome)
+        words, prose = [0] * len(doubts), [0] * len(doubts)
+        for b in blocks:
+            if not b.chrome:
+                for d in b.doubts:
+                    words[d] += b.words
+                    prose[d] += b.unlinked and b.words >= PROSE
+        kept = []
+        for d, n, p in zip(doubts, words, prose):
+            most = 2 * n >= total and p > 0
+            if d.kind == "weak":
+                kept.append(p > 0 and (d.inside or d.named) or most and not article)
+            else:
+                kept.append(most and (not d.inside and not article or d.named))
+        for b in blocks:
+            b.chrome = b.chrome or not all(kept[d] for d in b.doubts)
+    if not article and not any(b.content for b in blocks):
+        held = [0] * len(parents)
+        for b in blocks:
+            if not b.chrome and b.unlinked:
+                held[b.element] += b.words
+        for e in range(len(parents) - 1, 0, -1):
+            held[parents[e]] += held[e]
+        # Elements are numbered as they open, so the last one that holds enough is the smallest.
+        best = max((e for e in range(1, len(parents)) if held[e] > 0 and 10 * held[e] >= 6 * held[0]), default=0)
+        if best:
+            inside = [False] * len(parents)
+            for e in range(best, len(parents)):
+                inside[e] = e == best or inside[parents[e]]
+            for b in blocks:
+                b.content = inside[b.element]
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    # Open elements: (name, in furniture, in article, in link, in heading, in furniture not by hints alone)
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
+    stack = [Open("")]
+    doubts: list[Doubt] = []
+    parents = [0]  # of the elements that may hold the text, by number; the page itself is 0
+    article = False
     text: list[tuple[str, bool]] = []
     where = stack[0]
 
@@ -97,13 +180,13 @@ def blocks_of(page: str) -> list[Block]:
             whole = " ".join(entities.unescape("".join(t for t, _ in text)).split())
             if whole:
                 linked = sum(len(entities.unescape(t).split()) for t, a in text if a)
-                out.append(Block(whole, linked, where[1], where[2], where[4]))
+                out.append(Block(whole, linked, where))
             text = []
 
     at = 0
     for m in _TAG.finditer(page):
         if m.start() > at:
-            text.append((page[at : m.start()], stack[-1][3]))
+            text.append((page[at : m.start()], stack[-1].link))
             where = stack[-1]
         at = m.end()
         name = m["name"]
@@ -125,7 +208,7 @@ def blocks_of(page: str) -> list[Block]:
             flush()
         if m["close"]:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
+                if stack[i].name == name:
                     del stack[i:]
                     break
             continue
@@ -135,30 +218,43 @@ def blocks_of(page: str) -> list[Block]:
             # A block ends an open paragraph, an item ends the open item of its list.
             ends = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(name, ()) + ("p",)
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
+                if stack[i].name in ends:
                     del stack[i:]
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i].name in BLOCK:
                     break
         attrs = m["attrs"]
         up = stack[-1]
-        bad, good, hidden = _hints(attrs) if "=" in attrs or attrs.strip() else (False, False, False)
+        kind, good, hidden = _hints(attrs) if "=" in attrs or attrs.strip() else ("", False, False)
         # An article that is not called furniture itself is none for the names of what holds it.
-        inherited = up[5] if name in CONTENT and not bad and not hidden else up[1]
+        fresh = name in CONTENT and not kind and not hidden
+        inherited, around = (up.firm, ()) if fresh else (up.furniture, up.doubts)
+        article = article or name in CONTENT and not inherited and not kind
         if name in ("html", "body") or name in CONTENT or name in HEADINGS:
-            bad = hidden = False
+            kind, hidden = "", False
         # A header inside an article that is not furniture itself holds the article's title.
-        firm = up[5] or name in CHROME or (hidden and name != "header") or (name == "header" and not up[2])
-        furniture = inherited or firm or (bad and name != "header")
-        good = good and not (bad or hidden) and name != "body"
-        stack.append((name, furniture, up[2] or name in CONTENT or good, up[3] or name == "a", up[4] or name in HEADINGS, firm))
+        outside = name in ("header", "address") and not up.article
+        firm = up.firm or name in CHROME or (hidden and name != "header") or outside
+        furniture = inherited or firm or kind == "firm" and name != "header"
+        if not furniture and (name == "form" or kind and name != "header"):
+            around = (*around, len(doubts))
+            doubts.append(Doubt("form" if name == "form" else kind, good, up.article))
+        good = good and not (kind or hidden) and name != "body"
+        element = up.element
+        if name in BLOCK and name not in ("html", "body", "p", "li", "tr", "td", "th", *HEADINGS):
+            element = len(parents)
+            parents.append(up.element)
+        stack.append(
+            Open(name, furniture, up.article or name in CONTENT or good, up.link or name == "a", up.heading or name in HEADINGS, firm, around, element)
+        )
         if attrs.endswith("/") and name not in BLOCK:
             stack.pop()
     if at < len(page):
-        text.append((page[at:], stack[-1][3]))
+        text.append((page[at:], stack[-1].link))
         where = stack[-1]
     where = stack[-1] if text and not page.endswith(">") else where
     flush()
+    _settle(out, doubts, parents, article)
     return out
 
 
