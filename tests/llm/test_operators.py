@@ -320,6 +320,19 @@ def test_near_classes_of_drifting_copies(docs):
     assert got == brute.near_classes(data)
 
 
+def test_near_classes_of_ids_that_repeat(docs):
+    base = [f"w{i}" for i in range(60)]
+    near, other = ["x", *base[1:]], [f"v{i}" for i in range(60)]
+    data = [(1, " ".join(base)), (1, " ".join(other)), (2, " ".join(["y", *other[1:]])), (3, " ".join(near)), (3, " ".join(near)), (1, "  ".join(base))]
+    data += [(0, " ".join(["z", *other[1:]])), (None, " ".join(base)), (9, "alone in here"), (9, None)]
+    got = sorted(((r["doc_id"], r["n_words"], r["class_id"]) for r in near_copies.classes(docs(data)).collect()), key=str)
+    # Both texts of id 1 link: one with 3, the other with 0 and 2.
+    want = [(0, 60, 0), (1, 60, 1), (1, 60, 1), (1, 60, 0), (2, 60, 0), (3, 60, 1), (3, 60, 1), (9, 3, 9), (9, 0, 9), (None, 60, None)]
+    assert got == sorted(want, key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_copies.keep_one(docs(data)).collect()), key=str)
+    assert kept == sorted([data[0], data[5], data[6], data[7], data[8], data[9]], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 40)] + [(5, 5), (60, 59), (59, 61)]
     got = dict(rows(components(spark.createDataFrame(links, "a long, b long"))))

@@ -17,7 +17,7 @@ same words are one text before all this and share its class.
 
 Null texts are empty. A text without words is alone in its class; under five words the whole text is
 its one run. Rows with a null id are left out of classes (class null). Rows that repeat an id are one
-document if their words are the same. An empty table gives no rows; other columns are ignored.
+document if their words are the same; each other text of an id is a document of its own, with that id. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import U64, gram_hashes, mix, small, trimmed, word_hashes
+from vitrine.llm.common import U64, gram_hashes, mix, small, text_key, trimmed, word_hashes
 from vitrine.llm.components import components
 from vitrine.session import materialize
 
@@ -249,7 +249,7 @@ def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
 
 
 def profiles(docs: DataFrame, k: int, sketches: int) -> DataFrame:
-    """``(doc_id, fp, n, keys)`` per row: print of the words, word count, sketches."""
+    """``(doc_id, fp, n, keys, tk)`` per row: print of the words, word count, sketches, key of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,18 +266,18 @@ def profiles(docs: DataFrame, k: int, sketches: int) -> DataFrame:
                         keys.append(np.empty(0, np.int64))
                 lists = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, lists)],
-                    names=["doc_id", "fp", "n", "keys"],
+                    [some.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, lists), some.column(2)],
+                    names=["doc_id", "fp", "n", "keys", "tk"],
                 )
 
-    cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cols.mapInArrow(trimmed(run), "doc_id long, fp binary, n long, keys array<long>")
+    cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(F.col("text").cast("string")))
+    return cols.mapInArrow(trimmed(run), "doc_id long, fp binary, n long, keys array<long>, tk long")
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """``(_id, _t)`` of the ids ``_id``, written; of rows that repeat an id the smallest text stands for it."""
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t"))
-    texts = texts.where("_id is not null")
+    texts = texts.where("_id is not null")  # one text an id, up to white space: see ``_classes_by_text``
     needed = small(materialize(ids, "pair-ids"))
     return materialize(
         texts.join(needed, "_id", "left_semi").groupBy("_id").agg(F.min("_t").alias("_t")), "pair-texts"
@@ -331,6 +331,7 @@ def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     k = 1
     held = materialize(held, "near-held")
     texts = _texts(held.select(F.col("d").alias("_id")).distinct(), docs)
+    texts = materialize(texts.join(held.withColumnRenamed("d", "_id"), "_id"), "near-rooted-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -351,21 +352,22 @@ def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
-                ids, sizes, found = [], [], [np.empty(0, U64)]
-                for d, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                ids, roots, sizes, found = [], [], [], [np.empty(0, U64)]
+                for d, text, root in zip(*(some.column(i).to_pylist() for i in range(3))):
                     words = words_of(text)
                     if words:
                         found.append(prefix_of(labelled_runs(words, k), len(words), sent.value, k, least))
                         ids.append(np.full(len(found[-1]), d, np.int64))
+                        roots.append(np.full(len(found[-1]), root, np.int64))
                         sizes.append(np.full(len(found[-1]), len(words), np.int64))
                 if ids:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found).view(np.int64))],
-                        names=["d", "n", "run"],
+                        [pa.array(np.concatenate(c)) for c in (ids, roots, sizes)] + [pa.array(np.concatenate(found).view(np.int64))],
+                        names=["d", "root", "n", "run"],
                     )
 
-    runs = texts.select("_id", "_t").mapInArrow(trimmed(prefixes), "d long, n long, run long")
-    runs = materialize(runs.join(held, "d"), "near-prefixes")
+    runs = texts.select("_id", "_t", "root").mapInArrow(trimmed(prefixes), "d long, root long, n long, run long")
+    runs = materialize(runs, "near-prefixes")
     other = runs.withColumnsRenamed({"d": "o", "n": "on", "root": "oroot"})
     fits = F.abs(F.col("n") - F.col("on")) <= (1 - least) * F.greatest("n", "on") + 1e-9
     return runs.join(other, "run").where((F.col("d") < F.col("o")) & (F.col("root") != F.col("oroot")) & fits).select("d", "o", "n", "on")
@@ -385,11 +387,21 @@ def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(roots, "near-classes")
 
 
-def classes(
+def classes(docs: DataFrame, **params) -> DataFrame:
+    """``(doc_id, class_id, n_words)`` per row of ``docs``; the class id is its smallest doc_id."""
+    return labelled(docs, **params).drop("tk")
+
+
+def labelled(
     docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 64, crowd: int = 16
 ) -> DataFrame:
-    """``(doc_id, class_id, n_words)`` per row of ``docs``; the class id is its smallest doc_id."""
+    """``classes`` with ``tk``, the key of the row's text."""
     prof = materialize(profiles(docs, k, sketches), "near-profiles")
+    known = prof.where("doc_id is not null and n > 0")
+    twice = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    twice = materialize(twice.select("doc_id"), "near-twice")
+    if not twice.isEmpty():
+        return _classes_by_text(docs, known.join(twice, "doc_id").select("doc_id", "fp", "tk"), least, k, sketches, crowd)
     # Group minima are written before they are joined back: both sides of the join are then dealt
     # anew, and Spark can split the rows of a hot group over tasks.
     same = prof.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -448,11 +460,36 @@ def classes(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.col("n").alias("n_words"),
+        "tk",
     )
 
 
+def _classes_by_text(docs: DataFrame, twice: DataFrame, *params) -> DataFrame:
+    """``labelled`` where ids stand for several texts, ``twice(doc_id, fp, tk)``: such a text is a node of its own.
+
+    A node's number is a hash of id and words, far below the ids.
+    """
+    node = -(F.xxhash64("doc_id", "fp").bitwiseAND(2**61 - 1) + 2**62)
+    nodes = materialize(twice.select("doc_id", F.col("tk").alias("_tk"), node.alias("_node")).distinct(), "near-nodes")
+    nodes = nodes.withColumnRenamed("doc_id", "_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = rows.join(nodes, (rows["doc_id"] == nodes["_id"]) & (text_key(rows["text"]) == nodes["_tk"]), "left")
+    named = named.select("doc_id", F.coalesce("_node", "doc_id").alias("node"), "text")
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
+    named = materialize(named.withColumn("n", words), "near-named")
+    inner = labelled(named.select(F.col("node").alias("doc_id"), "text"), *params).where("doc_id is not null and n_words > 0")
+    inner = materialize(inner.groupBy("doc_id").agg(F.min("class_id").alias("root")), "near-inner")
+    placed = named.join(inner.withColumnRenamed("doc_id", "node"), "node", "left")
+    # A text without words is alone, whatever other text its id has.
+    placed = materialize(placed.withColumn("root", F.when(F.col("n") > 0, F.col("root"))), "near-rows")
+    least_id = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    out = placed.join(materialize(least_id, "near-least"), "root", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_words"), text_key("text").alias("tk"))
+
+
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """``docs`` without the documents whose class has a smaller id; all columns stay."""
-    gone = classes(docs, **params).where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialize(gone, "near-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = labelled(docs, **params).where("class_id < doc_id").select(F.col("doc_id").alias("_gone"), F.col("tk").alias("_tk"))
+    gone = materialize(gone.distinct(), "near-gone")
+    same = (docs["doc_id"].cast("long") == gone["_gone"]) & (text_key(docs["text"].cast("string")) == gone["_tk"])
+    return docs.join(gone, same, "left_anti")
