@@ -393,7 +393,7 @@ def classes(docs: DataFrame, **params) -> DataFrame:
 
 
 def labelled(
-    docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 64, crowd: int = 16
+    docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 80, crowd: int = 16
 ) -> DataFrame:
     """``classes`` with ``tk``, the key of the row's text."""
     prof = materialize(profiles(docs, k, sketches), "near-profiles")
