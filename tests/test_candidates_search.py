@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,22 @@ def test_words_keep_accents_and_long_texts(spark):
     df = spark.createDataFrame([("1", text)], "article_id string, detail_desc string")
     got = {r.term: r.tf for r in S.term_counts(df, "detail_desc").collect()}
     assert got == {"été": 2, "été_1": 1, "mot": 5000}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables are not here")
+def test_projections_find_most_neighbours(spark):
+    from vitrine.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    exact = {(r.query_id, r.article_id): r.similarity for r in QUERIES["knn_catalog"](spark, sf).collect()}
+    found = {(r.query_id, r.article_id): r.similarity for r in QUERIES["knn_lsh"](spark, sf).collect()}
+    assert len(set(exact) & set(found)) >= 0.9 * len(exact)
+    assert all(abs(found[p] - exact[p]) < 2e-9 for p in set(exact) & set(found))
+
+
+def test_projections_with_missing_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("z", [0.0, 0.0]), ("n", None)]
+    emb = spark.createDataFrame(rows, "article_id string, embedding array<float>")
+    asked = emb.select(F.col("article_id").alias("query_id"), F.col("embedding").alias("vec"))
+    got = {(r.query_id, r.article_id): r.rank for r in S.knn_lsh(asked, emb, 2, 2, 0.5).collect()}
+    assert got == {("a", "a"): 1, ("a", "b"): 2, ("b", "b"): 1, ("b", "a"): 2}

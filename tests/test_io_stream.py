@@ -105,3 +105,23 @@ def test_work_dir_reads_the_session_setting(spark):
     assert work_dir(spark)
     with pytest.raises(Exception):
         spark.read.parquet(run_dir(spark, "absent")).count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from vitrine.session import work_dir
+
+    made = []
+    context = SimpleNamespace(
+        master="spark://head:7077", getConf=lambda: SimpleNamespace(get=lambda k: None),
+        getCheckpointDir=lambda: None, setCheckpointDir=made.append,
+    )
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(session)
+    context.master = "local[2]"
+    assert work_dir(session) == made[0]
+    session.conf.get = lambda k, d: "hdfs://shared/"
+    context.master = "yarn"
+    assert work_dir(session) == "hdfs://shared"

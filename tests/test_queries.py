@@ -18,7 +18,7 @@ def con():
 
 def test_registry():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"als_fold_in", "als_retrieval", "ranker_boosted", "ranker_fit", "reranked_feed"}
+    assert set(QUERIES) - set(ORACLES) == {"als_fold_in", "als_retrieval", "knn_lsh", "ranker_boosted", "ranker_fit", "reranked_feed"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -227,3 +227,10 @@ def knn_catalog(spark, sf):
     """Every catalog vector's nearest items, itself among them."""
     emb = T.image_embeddings(spark, sf)
     return S.knn(emb.select(F.col("article_id").alias("query_id"), F.col("embedding").alias("vec")), emb, DIM, 6)
+
+
+@query("knn_lsh")
+def knn_lsh(spark, sf):
+    """Every catalog vector's nearest items by random projections; drawn projections, so no SQL."""
+    emb = T.image_embeddings(spark, sf)
+    return S.knn_lsh(emb.select(F.col("article_id").alias("query_id"), F.col("embedding").alias("vec")), emb, DIM, 6, 0.1)

@@ -24,11 +24,17 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only when nothing is set."""
+    """The shared folder the cluster names; a temporary one only for a local master without any.
+
+    On a cluster each executor would write to a folder of its own there, and later reads would miss rows.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     base = base or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     base = base or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
         base = tempfile.mkdtemp(prefix="vitrine-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
