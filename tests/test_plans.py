@@ -106,3 +106,15 @@ def test_the_bucketed_query_shuffles_nothing_after_its_tables(spark):
         assert "Exchange" not in plan(QUERIES["sink_bucketed"](spark, SMALL))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_words_are_counted_where_their_text_lies(spark):
+    from vitrine.operators import search as S
+
+    docs = materialize(spark.createDataFrame([(f"a{i}", "red coat and blue coat") for i in range(9)], "article_id string, detail_desc string"), "docs")
+    text = plan(S.fit_tfidf(docs).weights)
+    weights = text[: text.index("BroadcastExchange")] if "BroadcastExchange" in text else text
+    assert "hashpartitioning(article_id" in text
+    # The vocabulary counts by term; nothing is dealt by article and term, or by article again.
+    assert not any("hashpartitioning(article_id" in line and "term" in line for line in text.splitlines())
+    assert weights.count("hashpartitioning(article_id") <= 1
