@@ -1,11 +1,13 @@
 """Quality by co-training: a text view and a page-metadata view teach each other.
 
-The text view is the distribution of character-class bigrams of the whole text (letters, digits, symbols),
-hashed to ``TEXT_DIMS`` columns. The metadata view is what a crawler knows of a page: source,
-language, size and layout (lines, words a line, shares of capitals, symbols and digits). Each view has a
+The text view is what the text itself shows: the distribution of its character-class bigrams (letters, digits,
+symbols), hashed to ``BIGRAMS`` columns, its layout (lines, words a line), its shares of capitals, symbols and digits and
+the variety of its words. The metadata view is what a crawler knows of a page without reading it: source,
+language and size. Each view has a
 logistic classifier. In every round each view scores all unlabelled documents, and its confident
-ones become pseudo-labels of the other view. At the end both views are calibrated on labelled
-documents held out from training, and a logistic combination of the calibrated views scores every document.
+ones become pseudo-labels of the other view. At the end both views are calibrated on one half of the labelled
+documents held out from training, and a logistic combination of the calibrated views, fitted on the other half, scores
+every document.
 
 Classifiers are fitted on bounded samples, drawn by hash: at most ``fit_rows`` labelled documents and
 ``pseudo_rows`` confident documents of each label, view and round. All scores, priors and the cut cover all
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import trimmed
 from vitrine.session import materialize
 
-TEXT_DIMS = 256
+BIGRAMS, SHAPE = 256, 8
+TEXT_DIMS = BIGRAMS + SHAPE
 META_HASHED = 32
-META_DIMS = 2 * META_HASHED + 11
+META_DIMS = 2 * META_HASHED + 3
 _SIZE_AT = 2 * META_HASHED + 1
 _CLASSES = 48
 
@@ -52,30 +55,23 @@ def _class_table() -> np.ndarray:
 
 
 _TABLE = _class_table()
-_FOLD = (np.arange(_CLASSES * _CLASSES) * 2654435761 % 2**32 >> 7) % TEXT_DIMS
+_FOLD = (np.arange(_CLASSES * _CLASSES) * 2654435761 % 2**32 >> 7) % BIGRAMS
 
 
 def text_view(data: bytes) -> np.ndarray:
-    """Square roots of the shares of the class bigrams, folded to ``TEXT_DIMS``."""
-    if len(data) < 2:
-        return np.zeros(TEXT_DIMS, np.float32)
-    c = _TABLE[np.frombuffer(data, np.uint8)]
-    counts = np.bincount(c[:-1] * _CLASSES + c[1:], minlength=_CLASSES * _CLASSES)
-    folded = np.bincount(_FOLD, weights=counts, minlength=TEXT_DIMS)
-    return np.sqrt(folded / folded.sum()).astype(np.float32)
-
-
-def meta_view(data: bytes, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(META_DIMS, np.float32)
-    for k, v in enumerate((lang, source)):
-        out[k * META_HASHED + xxhash.xxh32_intdigest(f"{k}:{v}".encode()) % META_HASHED] = 1
+    """Square roots of the shares of the class bigrams, folded to ``BIGRAMS``; then the text's shape."""
+    out = np.zeros(TEXT_DIMS, np.float32)
+    raw = np.frombuffer(data, np.uint8)
+    if len(data) > 1:
+        c = _TABLE[raw]
+        counts = np.bincount(c[:-1] * _CLASSES + c[1:], minlength=_CLASSES * _CLASSES)
+        folded = np.bincount(_FOLD, weights=counts, minlength=BIGRAMS)
+        out[:BIGRAMS] = np.sqrt(folded / folded.sum())
     size = max(1, len(data))
-    b = np.bincount(np.frombuffer(data, np.uint8), minlength=256) if data else np.zeros(256)
+    b = np.bincount(raw, minlength=256)
     lines, spaces = b[10] + 1, b[32] + b[10] + 1
     letters = max(1, b[65:91].sum() + b[97:123].sum())
-    out[2 * META_HASHED :] = (
-        np.log1p(max(0, n_chars or 0)) / 10,
-        np.log1p(size) / 10,
+    out[BIGRAMS:] = (
         np.log1p(lines) / 5,
         np.log1p(spaces / lines) / 5,
         size / spaces / 20,
@@ -83,12 +79,19 @@ def meta_view(data: bytes, lang: str | None, source: str | None, n_chars: int |
         b[48:58].sum() / size,
         (b[33:48].sum() + b[58:65].sum() + b[91:97].sum() + b[123:127].sum()) / size,
         b[128:].sum() / size,
-        n_chars is None,
         _variety(data),
     )
     return out
 
 
+def meta_view(size: int, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    out = np.zeros(META_DIMS, np.float32)
+    for k, v in enumerate((lang, source)):
+        out[k * META_HASHED + xxhash.xxh32_intdigest(f"{k}:{v}".encode()) % META_HASHED] = 1
+    out[2 * META_HASHED :] = (np.log1p(max(0, n_chars or 0)) / 10, np.log1p(max(1, size)) / 10, n_chars is None)
+    return out
+
+
 def _variety(data: bytes) -> float:
     """How many of the words are different, on a log scale: low where words repeat a lot."""
     words = data.split()
@@ -158,7 +161,7 @@ def _vectors(docs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     texts = [(t or b"", lang, source, n) for t, lang, source, n in docs]
     if not texts:
         return np.zeros((0, TEXT_DIMS), np.float32), np.zeros((0, META_DIMS), np.float32)
-    return np.stack([text_view(t[0]) for t in texts]), np.stack([meta_view(*t) for t in texts])
+    return np.stack([text_view(t[0]) for t in texts]), np.stack([meta_view(len(t[0]), *t[1:]) for t in texts])
 
 
 def _page_columns(docs: DataFrame) -> list:
@@ -282,6 +285,11 @@ def train(
     held = np.array([xxhash.xxh32_intdigest(str(r["doc_id"]).encode()) % 4 == 0 for r in labelled])
     if min((y[held] == 0).sum(), (y[held] == 1).sum(), (y[~held] == 0).sum(), (y[~held] == 1).sum()) < 2:
         held = np.arange(len(y)) % 2 == 0
+    # Calibrations and their combination are fitted on different held rows, where both halves have both labels.
+    half = np.cumsum(held) % 2 == 0
+    halves = (held & half, held & ~half)
+    if min(len(set(y[h].tolist())) for h in halves) < 2:
+        halves = (held, held)
     extra: dict[int, list] = {0: [], 1: []}  # pseudo-labels that each view learns from
     known = materialize(known, "quality-known")
 
@@ -295,6 +303,7 @@ def train(
 
     def fit() -> Model:
         weights = []
+        first, second = halves
         for view, x in enumerate(known_x):
             more = extra[view]
             xs = np.vstack([x[~held], matrices(more)[view]]) if more else x[~held]
@@ -303,11 +312,14 @@ def train(
             weights.append(logistic(xs, ys, ws))
         cal = []
         for x, beta in zip(known_x, weights):
-            b = logistic(margin(x[held], beta)[:, None], y[held], ridge=1e-4)
-            cal.append((max(0.0, float(b[0])), float(b[1])))
+            b = logistic(margin(x[first], beta)[:, None], y[first], ridge=1e-4)
+            if b[0] <= 0:  # the view says nothing about these labels: every document gets their share
+                share = float(np.clip(y[first].mean(), 1e-3, 1 - 1e-3))
+                b = np.array([0.0, np.log(share / (1 - share))])
+            cal.append((float(b[0]), float(b[1])))
         model = Model(weights[0], weights[1], tuple(cal), None, float(prior), centre)
-        z = np.column_stack(model.views(tx[held], mx[held]))
-        model.blend = logistic(z, y[held], ridge=1e-4)
+        z = np.column_stack(model.views(tx[second], mx[second]))
+        model.blend = logistic(z, y[second], ridge=1e-4)
         return model
 
     model = fit()
