@@ -320,6 +320,25 @@ def test_near_classes_of_drifting_copies(docs):
     assert got == brute.near_classes(data)
 
 
+@given(st.integers(0, 10**6), st.integers(20, 420), st.floats(0.5, 1.0))
+@settings(max_examples=120, deadline=None)
+def test_texts_alike_share_enough_of_their_rarest_words(seed, n, used):
+    r = random.Random(seed)
+    words = [b"w%d" % int(r.paretovariate(0.6)) for _ in range(n)]
+    other, edits = list(words), int(0.2 * n * used)
+    for _ in range(edits):
+        at, kind = r.randrange(len(other)), r.choice("sid")
+        other[at : at + (kind != "i")] = [] if kind == "d" else [b"w%d" % int(r.paretovariate(0.6))]
+    texts = [words, other] + [[b"w%d" % int(r.paretovariate(0.6)) for _ in range(n)] for _ in range(6)]
+    runs = [near_copies.labelled_runs(t, 1) for t in texts]
+    counts = np.zeros(near_copies.SLOTS, np.int64)
+    for x in runs:
+        np.add.at(counts, (x % np.uint64(near_copies.SLOTS)).astype(np.int64), 1)
+    a, b = (set(near_copies.prefix_of(x, len(t), counts, 1, 0.8).tolist()) for x, t in zip(runs[:2], texts[:2]))
+    if near_copies.alike(*(near_copies.word_hashes(t) for t in texts[:2]), 0.8):
+        assert len(a & b) >= 1 + min(len(words), len(other)) // near_copies.EACH
+
+
 def test_near_classes_of_ids_that_repeat(docs):
     base = [f"w{i}" for i in range(60)]
     near, other = ["x", *base[1:]], [f"v{i}" for i in range(60)]

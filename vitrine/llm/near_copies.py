@@ -308,16 +308,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long")
 
 
+EACH = 100  # words of a text for which its prefix holds one word more, and two texts must share one more
+
+
 def prefix_of(runs: np.ndarray, n: int, counts: np.ndarray, k: int, least: float) -> np.ndarray:
-    """The rarest runs of a text of ``n`` words, one of which every text alike shares among its own rarest.
+    """The rarest runs of a text of ``n`` words, of which every text alike shares ``1 + n // EACH`` among its own.
 
-    Texts alike have ``needed`` labelled runs of ``k`` words in common at least, so the first
-    ``len(runs) - needed + 1`` of both, in one order for all texts, cannot be apart. Runs that no other text
-    has are left out.
+    Texts alike have ``needed`` labelled runs of ``k`` words in common at least. Take the one whose first
+    ``len(runs) - needed + m`` runs, in one order for all texts, end first: what follows them holds ``needed - m`` runs, so
+    ``m`` common ones at least stand among them, and among the other's, which end later. Runs that no other text has
+    are left out.
     """
     seen = counts[(runs % U64(SLOTS)).astype(np.int64)]
     needed = max(1, math.ceil(n * (1 - k * (1 - least)) - (k - 1) - 1e-6))
-    first = np.lexsort((runs, seen))[: max(0, len(runs) - needed + 1)]
+    first = np.lexsort((runs, seen))[: max(0, len(runs) - needed + 1 + n // EACH)]
     return runs[first][seen[first] > 1]
 
 
@@ -370,7 +374,9 @@ def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     runs = materialize(runs, "near-prefixes")
     other = runs.withColumnsRenamed({"d": "o", "n": "on", "root": "oroot"})
     fits = F.abs(F.col("n") - F.col("on")) <= (1 - least) * F.greatest("n", "on") + 1e-9
-    return runs.join(other, "run").where((F.col("d") < F.col("o")) & (F.col("root") != F.col("oroot")) & fits).select("d", "o", "n", "on")
+    met = runs.join(other, "run").where((F.col("d") < F.col("o")) & (F.col("root") != F.col("oroot")) & fits)
+    met = met.groupBy("d", "o", "n", "on").agg(F.count("*").alias("shared"))
+    return met.where(F.col("shared") >= 1 + F.floor(F.least("n", "on") / EACH)).drop("shared")
 
 
 def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
