@@ -449,11 +449,12 @@ def labelled(
     more = materialize(to_test(cross).join(pairs, ["a", "b"], "left_anti"), "near-more-pairs")
     joined = _merged(joined, materialize(_verified(more, docs, least), "near-more-links"))
 
-    # Larger buckets that hold several classes even now: all their texts, by an exact filter.
-    large = placed.join(sizes.where(F.col("m") > crowd), "key", "left_semi").select("key", "d")
-    large = materialize(rooted(large, joined), "near-large")
-    split = large.select("key", "root").distinct().groupBy("key").count().where("count > 1").select("key")
-    held = large.join(materialize(split, "near-split"), "key", "left_semi").select("d", "root").distinct()
+    # Larger buckets that hold several classes even now: all their texts, by an exact filter. The classes of a bucket
+    # tell which buckets these are; its texts are read once.
+    large = members.join(sizes.where(F.col("m") > crowd), "key", "left_semi").select("key", F.col("root").alias("d"))
+    split = rooted(large, joined).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    held = placed.join(materialize(split.select("key"), "near-split"), "key", "left_semi").select("d").distinct()
+    held = rooted(held, joined).select("d", "root")
     tested = pairs.unionByName(more)
     last = materialize(to_test(_sharing(held, docs, least)).join(tested, ["a", "b"], "left_anti"), "near-last-pairs")
     roots = _merged(joined, materialize(_verified(last, docs, least), "near-last-links"))
