@@ -436,7 +436,9 @@ def labelled(
 
     # Buckets that still hold several classes.
     placed = materialize(rooted(rows.select("key", "d", "n"), joined), "near-placed")
+    # Written, so that the joins below meet one row a class and not the bucket's texts.
     members = placed.groupBy("key", "root").agg(F.min(F.struct("d", "n")).alias("o"), F.count("*").alias("m"))
+    members = materialize(members, "near-members")
     sizes = members.groupBy("key").agg(F.count("*").alias("held"), F.sum("m").alias("m")).where("held > 1")
     sizes = materialize(sizes, "near-bucket-sizes")
     heads = members.select("key", "root", F.col("o.d").alias("d"), F.col("o.n").alias("n"))
