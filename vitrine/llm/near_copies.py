@@ -356,7 +356,7 @@ def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
-                ids, roots, sizes, found = [], [], [], [np.empty(0, U64)]
+                ids, roots, sizes, found, own = [], [], [], [np.empty(0, U64)], []
                 for d, text, root in zip(*(some.column(i).to_pylist() for i in range(3))):
                     words = words_of(text)
                     if words:
@@ -364,19 +364,25 @@ def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
                         ids.append(np.full(len(found[-1]), d, np.int64))
                         roots.append(np.full(len(found[-1]), root, np.int64))
                         sizes.append(np.full(len(found[-1]), len(words), np.int64))
+                        own += [found[-1].view(np.int64)] * len(found[-1])
                 if ids:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in (ids, roots, sizes)] + [pa.array(np.concatenate(found).view(np.int64))],
-                        names=["d", "root", "n", "run"],
+                        [pa.array(np.concatenate(c)) for c in (ids, roots, sizes)]
+                        + [pa.array(np.concatenate(found).view(np.int64)), pa.array(own, pa.list_(pa.int64()))],
+                        names=["d", "root", "n", "run", "own"],
                     )
 
-    runs = texts.select("_id", "_t", "root").mapInArrow(trimmed(prefixes), "d long, root long, n long, run long")
+    runs = texts.select("_id", "_t", "root").mapInArrow(trimmed(prefixes), "d long, root long, n long, run long, own array<long>")
     runs = materialize(runs, "near-prefixes")
-    other = runs.withColumnsRenamed({"d": "o", "n": "on", "root": "oroot"})
+    other = runs.withColumnsRenamed({"d": "o", "n": "on", "root": "oroot", "own": "theirs"})
     fits = F.abs(F.col("n") - F.col("on")) <= (1 - least) * F.greatest("n", "on") + 1e-9
-    met = runs.join(other, "run").where((F.col("d") < F.col("o")) & (F.col("root") != F.col("oroot")) & fits)
-    met = met.groupBy("d", "o", "n", "on").agg(F.count("*").alias("shared"))
-    return met.where(F.col("shared") >= 1 + F.floor(F.least("n", "on") / EACH)).drop("shared")
+    # The whole prefixes are compared inside the join: a pair leaves it once, at the smallest run that both hold, and only if
+    # they share enough. So a run that many texts hold makes no row for each two of them.
+    shared = F.array_intersect("own", "theirs")
+    enough = (F.size(shared) >= 1 + F.floor(F.least("n", "on") / EACH)) & (F.array_min(shared) == F.col("run"))
+    other = other.withColumnRenamed("run", "orun")
+    met = runs.join(other, (F.col("run") == F.col("orun")) & (F.col("d") < F.col("o")) & (F.col("root") != F.col("oroot")) & fits & enough)
+    return met.select("d", "o", "n", "on")
 
 
 def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
