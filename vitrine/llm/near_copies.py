@@ -352,37 +352,48 @@ def _sharing(held: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     counts[table["slot"].to_numpy()] = table["n"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(p) for _, _, _, p in found]
+        each = [pa.array(np.repeat(np.array([t[i] for t in found], np.int64), sizes)) for i in range(3)]
+        own = [p if n <= SHORT else None for (_, _, n, p), size in zip(found, sizes) for _ in range(size)]
+        runs = pa.array(np.concatenate([np.empty(0, np.int64), *(p for _, _, _, p in found)]))
+        return pa.RecordBatch.from_arrays([*each, runs, pa.array(own, pa.list_(pa.int64()))], names=["d", "root", "n", "run", "own"])
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        held = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                some = batch.slice(low, 512)
-                ids, roots, sizes, found, own = [], [], [], [np.empty(0, U64)], []
-                for d, text, root in zip(*(some.column(i).to_pylist() for i in range(3))):
+            for low in range(0, batch.num_rows, 64):
+                for d, text, root in zip(*(batch.column(i).slice(low, 64).to_pylist() for i in range(3))):
                     words = words_of(text)
-                    if words:
-                        found.append(prefix_of(labelled_runs(words, k), len(words), sent.value, k, least))
-                        ids.append(np.full(len(found[-1]), d, np.int64))
-                        roots.append(np.full(len(found[-1]), root, np.int64))
-                        sizes.append(np.full(len(found[-1]), len(words), np.int64))
-                        own += [found[-1].view(np.int64)] * len(found[-1])
-                if ids:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in (ids, roots, sizes)]
-                        + [pa.array(np.concatenate(found).view(np.int64)), pa.array(own, pa.list_(pa.int64()))],
-                        names=["d", "root", "n", "run", "own"],
-                    )
+                    if not words:
+                        continue
+                    own = prefix_of(labelled_runs(words, k), len(words), sent.value, k, least).view(np.int64)
+                    found.append((d, root, len(words), own))
+                    held += len(own) * (len(own) if len(words) <= SHORT else 4)
+                    if held > 1_000_000:
+                        yield rows_of(found)
+                        found, held = [], 0
+        if found:
+            yield rows_of(found)
 
     runs = texts.select("_id", "_t", "root").mapInArrow(trimmed(prefixes), "d long, root long, n long, run long, own array<long>")
     runs = materialize(runs, "near-prefixes")
-    other = runs.withColumnsRenamed({"d": "o", "n": "on", "root": "oroot", "own": "theirs"})
+    names = {"d": "o", "n": "on", "root": "oroot", "own": "theirs", "run": "orun"}
     fits = F.abs(F.col("n") - F.col("on")) <= (1 - least) * F.greatest("n", "on") + 1e-9
-    # The whole prefixes are compared inside the join: a pair leaves it once, at the smallest run that both hold, and only if
-    # they share enough. So a run that many texts hold makes no row for each two of them.
+    same = (F.col("run") == F.col("orun")) & (F.col("d") < F.col("o")) & (F.col("root") != F.col("oroot")) & fits
+    least_shared = 1 + F.floor(F.least("n", "on") / EACH)
+    # Short texts carry their whole prefixes into the join: a pair leaves it once, at the smallest run that both
+    # hold, and only if they share enough. So a run that many texts hold makes no row for each two of them.
+    short = runs.where("own is not null")
     shared = F.array_intersect("own", "theirs")
-    enough = (F.size(shared) >= 1 + F.floor(F.least("n", "on") / EACH)) & (F.array_min(shared) == F.col("run"))
-    other = other.withColumnRenamed("run", "orun")
-    met = runs.join(other, (F.col("run") == F.col("orun")) & (F.col("d") < F.col("o")) & (F.col("root") != F.col("oroot")) & fits & enough)
-    return met.select("d", "o", "n", "on")
+    enough = (F.size(shared) >= least_shared) & (F.array_min(shared) == F.col("run"))
+    met = short.join(short.withColumnsRenamed(names), same & enough).select("d", "o", "n", "on")
+    # Prefixes of long texts are too long for that; what they share is counted.
+    long = runs.where(F.col("n") >= math.floor(least * SHORT)).drop("own")
+    counted = long.join(long.withColumnsRenamed({c: x for c, x in names.items() if c != "own"}), same & (F.greatest("n", "on") > SHORT))
+    counted = counted.groupBy("d", "o", "n", "on").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
+    return met.unionByName(counted.drop("shared"))
 
 
 def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
