@@ -146,3 +146,30 @@ def test_projections_with_missing_vectors(spark):
     asked = emb.select(F.col("article_id").alias("query_id"), F.col("embedding").alias("vec"))
     got = {(r.query_id, r.article_id): r.rank for r in S.knn_lsh(asked, emb, 2, 2, 0.5).collect()}
     assert got == {("a", "a"): 1, ("a", "b"): 2, ("b", "b"): 1, ("b", "a"): 2}
+
+
+def test_projections_form_no_pairs_of_rows(spark):
+    rows = [(f"a{i:02d}", [math.sin(i * j + j) for j in range(1, 5)]) for i in range(40)] + [("a07", [1.0, 0.0, 0.0, 0.0])]
+    emb = spark.createDataFrame([*rows, rows[3]], "article_id string, embedding array<float>")
+    asked = emb.select(F.col("article_id").alias("query_id"), F.col("embedding").alias("vec"))
+    # One bucket holds everything, so the nearest are the exact ones; a row that comes twice counts once.
+    found = S.knn_lsh(asked, emb, 4, 5, -1.0, width=1000.0)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    once = emb.distinct()
+    want = S.knn(once.select(F.col("article_id").alias("query_id"), F.col("embedding").alias("vec")), once, 4, 60)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append(r.similarity)
+    best = {}
+    for r in want.collect():
+        best.setdefault(r.query_id, []).append(r.similarity)
+    assert set(got) == set(best) and all(len(v) == 5 for v in got.values())
+    for q in got:
+        assert sorted(got[q], reverse=True) == pytest.approx(sorted(best[q], reverse=True)[:5], abs=2e-9)
+
+
+def test_words_are_counted_in_bounded_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(str(i), "some words here") for i in range(50)], "article_id string, detail_desc string")
+    monkeypatch.setattr(S, "TASK_CHARS", 50)
+    counts = S.term_counts(df, "detail_desc")
+    assert counts.rdd.getNumPartitions() == 15 and counts.count() == 50
