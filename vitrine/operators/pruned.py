@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.retrieval import place, retrieve_threshold, retrieve_topk
-from vitrine.operators.scoring import SCALE, pair_scores, unit_rows
+from vitrine.operators.scoring import SCALE, bands, pair_scores, split_sides, unit_rows
 from vitrine.session import materialize
 
 #: Angles are widened by this, far beyond what rounding can move them.
@@ -54,7 +54,7 @@ def _blocks(df: DataFrame, key: str, dim: int, pivots: np.ndarray, most: int) ->
     cells = materialize(rows.mapInArrow(nearest, f"{key} string, vec array<double>, cell long"), f"cells-{key}")
     # One number a pivot; a pivot that draws many vectors is cut into more blocks.
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts"))
-    sizes = F.broadcast(sizes)
+    sizes = F.broadcast(materialize(sizes, f"sizes-{key}"))
     part = F.pmod(F.xxhash64(key), F.col("parts"))
     return cells.join(sizes, "cell").select(key, "vec", (F.col("cell") * (1 << 32) + part).alias("block"))
 
@@ -113,29 +113,50 @@ def pruned_hits(
     middle = pivots_of(items, dim, pivots)
     if not len(middle):
         return users.sparkSession.createDataFrame([], HITS), {"pairs": 0, "met": 0}
-    u = materialize(_blocks(users, "customer_id", dim, middle, user_block), "user-blocks")
-    i = materialize(_blocks(items, "article_id", dim, middle, item_block), "item-blocks")
+    u = _blocks(users, "customer_id", dim, middle, user_block)
+    i = _blocks(items, "article_id", dim, middle, item_block)
     user_balls, item_balls = materialize(_balls(u, dim), "user-balls"), materialize(_balls(i, dim), "item-balls")
     pairs = materialize(block_pairs(user_balls, item_balls, threshold, dim), "block-pairs")
     share = {"pairs": user_balls.count() * item_balls.count(), "met": pairs.count()}
     limit = int(np.rint(threshold * SCALE))
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"customer_id": pa.array([], pa.string()), "article_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())}
-        if len(left) and len(right):
-            scores = pair_scores(unit_rows(left["vec"], dim), unit_rows(right["vec"], dim))
-            a, b = np.nonzero(scores >= limit)
-            out = {
-                "customer_id": left["customer_id"].take(pa.array(a)),
-                "article_id": right["article_id"].take(pa.array(b)),
-                "score": pa.array(scores[a, b] / SCALE),
-            }
-        return pa.table(out)
-
-    left = u.join(pairs, F.col("block") == F.col("ub")).select("ub", "ib", "customer_id", "vec")
-    other = pairs.select(F.col("ub").alias("ub"), F.col("ib").alias("ib"))
-    right = i.join(other, F.col("block") == F.col("ib")).select("ub", "ib", "article_id", "vec")
-    return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInArrow(meet, HITS), share
+    # Blocks of users are dealt into bands. A band is held by a task, and an item comes by once in each band that it may
+    # have a hit in, with the blocks that it has to meet there; neither side is copied once a block of the other.
+    n = bands(u.count(), dim, user_block, users.sparkSession.sparkContext.defaultParallelism)
+    band = lambda block: F.pmod(F.xxhash64(block), F.lit(n)).cast("int").alias("band")
+    none = F.array().cast("array<bigint>")
+    left = u.select(band("block"), F.lit(0).alias("side"), F.col("customer_id").alias("id"), "vec", "block", none.alias("meets"))
+    wanted = pairs.groupBy(band("ub"), F.col("ib").alias("block")).agg(F.collect_list("ub").alias("meets"))
+    right = i.join(wanted, "block").select("band", F.lit(1).alias("side"), F.col("article_id").alias("id"), "vec", "block", "meets")
+    dealt = left.unionAll(right).repartitionById(n, F.col("band")).sortWithinPartitions("band", "side", "block")
+
+    def meet(batches):
+        held, rest = split_sides(batches)
+        mine: dict[int, list[tuple[pa.Array, np.ndarray]]] = {}
+        for batch in held:
+            for block, part in _runs(batch):
+                mine.setdefault(block, []).append((part.column(2), unit_rows(part.column(3), dim)))
+        for batch in rest:
+            for _, part in _runs(batch):
+                items = unit_rows(part.column(3), dim)
+                for block in part.column(5)[0].as_py():
+                    for ids, rows in mine.get(block, []):
+                        scores = pair_scores(rows, items)
+                        a, b = np.nonzero(scores >= limit)
+                        if len(a):
+                            found = [ids.take(pa.array(a)), part.column(2).take(pa.array(b)), pa.array(scores[a, b] / SCALE)]
+                            yield pa.RecordBatch.from_arrays(found, names=["customer_id", "article_id", "score"])
+
+    return dealt.mapInArrow(meet, HITS), share
+
+
+def _runs(batch: pa.RecordBatch):
+    """The rows of each block of a batch that is sorted by block; ``block`` is the fifth column."""
+    blocks = batch.column(4).to_numpy()
+    edges = np.flatnonzero(blocks[1:] != blocks[:-1]) + 1
+    for low, high in zip([0, *edges], [*edges, batch.num_rows]):
+        if high > low:
+            yield int(blocks[low]), batch.slice(low, high - low)
 
 
 def retrieve_threshold_pruned(
@@ -144,6 +165,8 @@ def retrieve_threshold_pruned(
     """``retrieval.retrieve_threshold`` by pruned blocks; customers without a hit get their k best."""
     if threshold <= 0:
         return retrieve_threshold(users, items, dim, threshold, k, order)
+    # read for the blocks and for those without a hit
+    users = materialize(users, "users")
     hits, _ = pruned_hits(users, items, dim, threshold, **blocks)
     hits = materialize(hits, "threshold-hits")
     without = users.join(hits.select("customer_id").distinct(), "customer_id", "left_anti")
