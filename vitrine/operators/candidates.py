@@ -84,8 +84,11 @@ def feed_view(
 
 
 def feed_facet_options(feed: DataFrame, articles: DataFrame) -> DataFrame:
-    """Distinct facet values per customer feed."""
-    details = feed_lookup(feed, articles)
+    """Distinct facet values per customer feed.
+
+    Rows are dealt by customer before they become a row per facet, so each is moved once and not once a facet.
+    """
+    details = feed_lookup(feed, articles).select("customer_id", *dict.fromkeys(FACETS.values())).repartition("customer_id")
     cells = F.array(
         *[F.struct(F.lit(k).alias("facet"), F.col(c).alias("value")) for k, c in FACETS.items()]
     )
