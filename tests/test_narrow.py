@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from vitrine.operators import features as E
+from vitrine.operators import negatives as G
 from vitrine.sources import schemas
 
 
@@ -16,6 +17,36 @@ def ordered(df):
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
 
 
+def frames(spark, tx):
+    df = tx([(c, a, i % 3, i + 1) for i, (c, a) in enumerate([("c", "a"), ("c", "b"), ("d", "a"), ("c", "a"), ("d", "c")])])
+    df = df.unionByName(df.where(F.col("article_id") == "b"))
+    customers = spark.createDataFrame([("c", 30.0), ("d", None), ("d", 41.0)], "customer_id string, age double")
+    articles = spark.createDataFrame([("a", "hat"), ("b", None), ("b", "cap"), ("c", "bag")], "article_id string, prod string")
+    feats = spark.createDataFrame([("a", 1.5), ("b", None)], "article_id string, art_x double")
+    cust = spark.createDataFrame([("c", 7.0)], "customer_id string, cust_x double")
+    return df, customers, articles, feats, cust
+
+
+def test_bare_and_wide_training_rows_are_alike(spark, tx):
+    """Repeated keys on either side, missing attributes and missing features."""
+    df, customers, articles, feats, cust = frames(spark, tx)
+    popularity = E.article_popularity(df)
+    wide = E.merge_features(E.enrich(df, customers, articles), cust, feats)
+    cols = ["age", "cust_x"]
+    want = G.training_set(wide, popularity, articles, feats, cols, n=3)
+    known = customers.join(cust, "customer_id", "left")
+    got = G.training_set(df, popularity, articles, feats, cols, n=3, customers=known)
+    assert ordered(got) == ordered(want) and got.count() > df.count() * 4
+
+
+def test_articles_are_drawn_for_bare_keys(spark, tx):
+    df, customers, articles, feats, cust = frames(spark, tx)
+    known = customers.join(cust, "customer_id", "left")
+    out = G.training_set(df, E.article_popularity(df), articles, feats, ["age", "cust_x"], customers=known)
+    sliced = [line for line in plan(out).splitlines() if "hashpartitioning(slice" in line]
+    assert sliced and "age" not in plan(out).split("hashpartitioning(slice")[1].split("Exchange")[0]
+
+
 def test_days_are_not_copied_as_distinct_values(spark, tx):
     """Days are at most the calendar: with them as a set, the customers' only distinct count copies no row."""
     df = tx([("c", "a", 0, 1), ("c", "a", 0, 2), ("c", "b", 4, 3), ("d", "a", 1, 4)])

@@ -15,7 +15,7 @@ from vitrine.plans.feature_queries import (
     customers,
     splits,
     warm,
-    warm_stage,
+    warm_parts,
     with_attributes,
 )
 from vitrine.plans.oracle import between, sql, unit
@@ -176,11 +176,12 @@ _SET_COLS = ["age", "club_member_status", "cust_nb_transactions", "product_type_
         _DRAWN.format(source="warm_train", n=1) + f", cf AS ({CUST_FEATS_SQL}), af AS ({ART_FEATS_SQL})"),
 )
 def training_set(spark, sf):
-    train, popularity = warm_stage(spark, sf)
-    feats = E.article_features(train)
-    merged = E.merge_features(train, E.customer_features(train), feats)
+    bare, _, popularity = warm_parts(spark, sf)
+    train = with_attributes(spark, sf, bare)
+    known = customers(spark, sf).join(E.customer_features(train), "customer_id", "left")
     out = G.training_set(
-        merged, popularity, T.articles(spark, sf), feats, ["age", "club_member_status", "cust_nb_transactions"]
+        bare, popularity, T.articles(spark, sf), E.article_features(train),
+        ["age", "club_member_status", "cust_nb_transactions"], customers=known,
     )
     return with_nums(out.select("txn_id", "customer_id", "article_id", "j", LABEL, *_SET_COLS), ["art_age_mean"])
 
