@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from vitrine.operators import encode as N
 from vitrine.operators import features as E
 from vitrine.operators import negatives as G
 from vitrine.sources import schemas
@@ -74,3 +75,16 @@ def test_known_keys_meet_the_counts(spark, tx):
     assert [ordered(df) for df in got] == [ordered(df) for df in want]
     assert {r.customer_id for r in got[0].collect()} == {"c", "e"} and staged == ["warm_customers", "popularity"]
     assert plan(got[0].where(F.col("t_dat") > dt.date(1999, 1, 1))).count("LeftSemi") < plan(want[0].where(F.col("t_dat") > dt.date(1999, 1, 1))).count("LeftSemi")
+
+
+def test_many_columns_are_normalised_in_compiled_passes(spark, monkeypatch):
+    """An aggregate of 100 fields or more is not compiled; the numbers are those of one pass."""
+    cols = [f"x{i}" for i in range(40)]
+    df = spark.createDataFrame([(float(i), None if i == 1 else 2.0) for i in range(5)], "a double, b double")
+    df = df.select(*[F.col("a" if i % 2 else "b").alias(c) for i, c in enumerate(cols)])
+    seen = []
+    monkeypatch.setattr(type(df), "agg", lambda self, *aggs, f=type(df).agg: seen.append(len(aggs)) or f(self, *aggs))
+    fitted = N.fit_normalizer(df, cols)
+    assert list(fitted) == cols and fitted["x1"] == (2.0, 2.0) and fitted["x38"] == (2.0, 0.0)
+    # mean and variance hold five fields a column
+    assert max(seen) // 2 * 5 < 100 and N.fit_normalizer(df, []) == {}
