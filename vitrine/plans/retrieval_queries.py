@@ -110,7 +110,9 @@ def als_retrieval(spark, sf):
 def als_fold_in(spark, sf):
     """Top articles of every customer of both splits: the fit knows the training purchases only, later customers
     and purchases are folded in; a seeded fit, so no SQL."""
-    train, val = splits(spark, sf)
+    # read for the fit and, twice, for the purchases that are folded in
+    tx = materialize(T.transactions(spark, sf).select("t_dat", "customer_id", "article_id"), "transactions")
+    train, val = split_by_date(tx, T.TRAIN, T.VALIDATION)
     _, factors = R.fit_retrieval(train, rank=8, iterations=4)
     factors = materialize(factors, "item-factors")
     vectors = fold_in(train.unionByName(val), factors, 8)
