@@ -86,6 +86,28 @@ def test_normal_equations_are_plain_sums(monkeypatch):
     assert np.allclose(O._solved(np.zeros((2, 3, 3)), np.zeros((2, 3))), 0)
 
 
+def test_purchases_without_a_customer_are_left_out(spark):
+    bought = spark.createDataFrame([("c", "000000"), ("c", "000001"), (None, "000001")], "customer_id string, article_id string")
+    items = frame(spark, unit(np.random.default_rng(2), 4, 3), "article_id")
+    assert [r.customer_id for r in O.fold_in(bought, items, 3).collect()] == ["c"]
+
+
+def test_user_vectors_are_made_once_for_truth_and_scores(spark, monkeypatch):
+    from vitrine.plans import retrieval_queries as Q
+
+    users = spark.createDataFrame([("c", [1.0, 0.0])], "customer_id string, vec array<double>")
+    items = spark.createDataFrame([("a", [1.0, 1.0]), ("b", None)], "article_id string, vec array<float>")
+    val = spark.createDataFrame([("t", "c", "a")], "txn_id string, customer_id string, article_id string")
+    kept = []
+    monkeypatch.setattr(Q, "materialize", lambda df, name, put=Q.materialize: kept.append(name) or put(df, name))
+    monkeypatch.setattr(Q, "splits", lambda *_: (None, val))
+    monkeypatch.setattr(Q, "users", lambda *_: users)
+    monkeypatch.setattr(Q, "items", lambda *_: items)
+    monkeypatch.setattr(Q, "DIM", 2)
+    got = Q.softmax_loss(spark, "").first()
+    assert kept == ["users"] and got.n == 1 and got.loss == pytest.approx(np.log(np.exp(0.5**0.5) + 1) - 0.5**0.5, abs=1e-6)
+
+
 def test_hits_of_the_pruned_way_are_not_moved_again(spark, monkeypatch):
     r, kept = np.random.default_rng(7), []
     monkeypatch.setattr(P, "materialize", lambda df, name, put=P.materialize: kept.append(name) or put(df, name))

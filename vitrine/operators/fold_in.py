@@ -73,12 +73,12 @@ def fold_in(
 ) -> DataFrame:
     """``(customer_id, vec)`` of every customer of ``purchases`` who bought an item that has a vector.
 
-    ``items`` is ``(article_id, vec)`` of the fit; ``reg`` and ``alpha`` are the fit's. A customer has at most one row
+    ``items`` is ``(article_id, vec)`` of the fit; ``reg`` and ``alpha`` are the fit's. As in the fit, purchases without a customer are no customer's. A customer has at most one row
     per article, and customers are solved in buckets of about ``bucket_rows`` of them.
     """
     shared = gram(items, rank)
     # read for their number and to be solved
-    counts = materialize(purchases.groupBy("customer_id", "article_id").agg(F.count("*").alias("n")), "purchase-counts")
+    counts = materialize(purchases.where("customer_id is not null").groupBy("customer_id", "article_id").agg(F.count("*").alias("n")), "purchase-counts")
     rows = counts.join(items.where("vec is not null").select("article_id", "vec"), "article_id")
     buckets = max(1, math.ceil(counts.count() / bucket_rows))
 
